@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.op2_sharding import op2_lpt_sharding
+from tessella.llm.op3_mixing import OP3_SQL, op3_mixing
 from tessella.llm.op5_simhash import op5_pivot_simhash
+from tessella.llm.op8_decontamination import OP8_SQL, op8_decontamination
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_lpt_sharding, op5_pivot_simhash]
+    found = [op2_lpt_sharding, op3_mixing, op5_pivot_simhash, op8_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": OP3_SQL, "op8_decontamination": OP8_SQL}
