@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.op10_pii import OP10_SQL, op10_pii
 from tessella.llm.op2_sharding import op2_lpt_sharding
 from tessella.llm.op3_mixing import OP3_SQL, op3_mixing
 from tessella.llm.op5_simhash import op5_pivot_simhash
@@ -13,9 +14,9 @@ from tessella.llm.op8_decontamination import OP8_SQL, op8_decontamination
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_lpt_sharding, op3_mixing, op5_pivot_simhash, op8_decontamination]
+    found = [op2_lpt_sharding, op3_mixing, op5_pivot_simhash, op8_decontamination, op10_pii]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op8_decontamination": OP8_SQL}
+    return {"op3_mixing": OP3_SQL, "op8_decontamination": OP8_SQL, "op10_pii": OP10_SQL}
