@@ -12,13 +12,14 @@ from tessella.llm.op3_mixing import OP3_SQL, op3_mixing
 from tessella.llm.op4_token_planes import op4_bit_planes
 from tessella.llm.op5_simhash import op5_pivot_simhash
 from tessella.llm.op6_langid import op6_language_id
+from tessella.llm.op7_chat import OP7_SQL, op7_budgeted_windows
 from tessella.llm.op8_decontamination import OP8_SQL, op8_decontamination
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_lpt_sharding, op3_mixing, op4_bit_planes, op5_pivot_simhash, op6_language_id, op8_decontamination, op10_pii]
+    found = [op2_lpt_sharding, op3_mixing, op4_bit_planes, op5_pivot_simhash, op6_language_id, op7_budgeted_windows, op8_decontamination, op10_pii]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op8_decontamination": OP8_SQL, "op10_pii": OP10_SQL}
+    return {"op3_mixing": OP3_SQL, "op7_budgeted_windows": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_pii": OP10_SQL}
