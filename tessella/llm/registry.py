@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.op10_pii import OP10_SQL, op10_pii
+from tessella.llm.op1_style_tree import op1_site_style_tree
 from tessella.llm.op2_sharding import op2_lpt_sharding
 from tessella.llm.op3_mixing import OP3_SQL, op3_mixing
 from tessella.llm.op4_token_planes import op4_bit_planes
@@ -17,7 +18,7 @@ from tessella.llm.op8_decontamination import OP8_SQL, op8_decontamination
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_lpt_sharding, op3_mixing, op4_bit_planes, op5_pivot_simhash, op6_language_id, op7_budgeted_windows, op8_decontamination, op10_pii]
+    found = [op1_site_style_tree, op2_lpt_sharding, op3_mixing, op4_bit_planes, op5_pivot_simhash, op6_language_id, op7_budgeted_windows, op8_decontamination, op10_pii]
     return {f.__name__: f for f in found}
 
 
