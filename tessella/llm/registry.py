@@ -15,10 +15,11 @@ from tessella.llm.op5_simhash import op5_pivot_simhash
 from tessella.llm.op6_langid import op6_language_id
 from tessella.llm.op7_chat import OP7_SQL, op7_budgeted_windows
 from tessella.llm.op8_decontamination import OP8_SQL, op8_decontamination
+from tessella.llm.op9_media_chunks import op9_media_chunks
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_site_style_tree, op2_lpt_sharding, op3_mixing, op4_bit_planes, op5_pivot_simhash, op6_language_id, op7_budgeted_windows, op8_decontamination, op10_pii]
+    found = [op1_site_style_tree, op2_lpt_sharding, op3_mixing, op4_bit_planes, op5_pivot_simhash, op6_language_id, op7_budgeted_windows, op8_decontamination, op9_media_chunks, op10_pii]
     return {f.__name__: f for f in found}
 
 
