@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.op10_pii import OP10_SQL, op10_pii
@@ -20,8 +21,9 @@ from tessella.llm.op9_media_chunks import op9_media_chunks
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_site_style_tree, op2_lpt_sharding, op3_mixing, op4_bit_planes, op5_pivot_simhash, op6_language_id, op7_budgeted_windows, op8_decontamination, op9_media_chunks, op10_pii]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op7_budgeted_windows": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_pii": OP10_SQL}
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return whole | {"op3_mixing": OP3_SQL, "op7_budgeted_windows": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_pii": OP10_SQL}
