@@ -1,0 +1 @@
+"""Transcript reconciliation, audit, scoring and signal levelling as Spark jobs."""
