@@ -14,6 +14,11 @@ SOURCE_WORDS = (
 DISFLUENCIES = r"(?i)\b(?:um+|uh+|you know|i mean)\b"
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once: inside a lambda an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def trim_space(c: Column) -> Column:
     """Strip all Unicode white space; Spark's trim takes spaces alone."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -140,15 +145,19 @@ def contains_words(haystack: Column, needle: Column) -> Column:
 
 def is_subsequence(part: Column, whole: Column) -> Column:
     """Whether the words of ``part`` occur in ``whole`` in order, each used once."""
-    done = F.aggregate(whole, F.lit(1), lambda at, w: at + F.when(F.get(part, at - 1) == w, 1).otherwise(0))
-    return done == F.size(part) + 1
+    done = lambda p: F.aggregate(whole, F.lit(1), lambda at, w: at + F.when(F.get(p, at - 1) == w, 1).otherwise(0))
+    return let(part, lambda p: done(p) == F.size(p) + 1)
 
 
 def unique_ngrams(tokens: Column, n: int = 8) -> Column:
     """Distinct n-grams by all; 1 for fewer than n words."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    ratio = F.size(F.array_distinct(grams)).cast("double") / F.size(grams)
-    return F.when(F.size(tokens) < n, F.lit(1.0)).otherwise(ratio)
+
+    def ratio(t: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1)))
+        grams = F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) < n, F.lit(1.0)).otherwise(let(grams, lambda g: F.size(F.array_distinct(g)).cast("double") / F.size(g)))
+
+    return let(tokens, ratio)
 
 
 def mid_sentence_names(c: Column) -> Column:

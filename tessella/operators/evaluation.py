@@ -24,6 +24,22 @@ def spans_of(texts: DataFrame, anchors: DataFrame) -> DataFrame:
     return joined.filter(F.size(words) > 0).withColumn("_hit", hit).filter("_hit is not null").select(*anchors.columns, F.col("_hit.start").alias("start"), F.col("_hit.stop").alias("stop"))
 
 
+def holders(texts: DataFrame, anchors: DataFrame, width: int = 3) -> DataFrame:
+    """All pairs (text_id, anchor_id) whose text holds the anchor's words as a run.
+
+    Texts and anchors meet by the anchor's first ``width`` words (all, if it has fewer), never all by all.
+    """
+    wanted = anchors.select("anchor_id", ascii_words(F.col("anchor")).alias("want")).filter(F.size("want") > 0)
+    wanted = wanted.withColumn("n", F.least(F.size("want"), F.lit(width))).withColumn("head", F.array_join(F.slice("want", 1, F.col("n")), " "))
+    own = texts.select("text_id", ascii_words(F.col("text")).alias("words"))
+    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1)))
+    grams = lambda n: F.transform(starts(n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice("words", i, n), " ").alias("head")))
+    places = own.select("text_id", "words", F.explode(F.concat(*[grams(n) for n in range(1, width + 1)])).alias("g"))
+    met = places.join(wanted, (F.col("g.head") == F.col("head")) & (F.col("g.n") == F.col("n")))
+    whole = F.slice("words", F.col("g.at"), F.size("want")) == F.col("want")
+    return met.filter(whole).select("text_id", "anchor_id").distinct()
+
+
 def overlap(a: str, b: str) -> Column:
     """Half-open intervals that share a place."""
     return (F.col(f"{a}.start") < F.col(f"{b}.stop")) & (F.col(f"{b}.start") < F.col(f"{a}.stop"))
