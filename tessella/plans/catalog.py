@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import text_queries
+from tessella.plans import run_queries, text_queries
 
-MODULES = (text_queries,)
+MODULES = (run_queries, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
