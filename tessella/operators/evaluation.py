@@ -115,7 +115,7 @@ def cleanup_scores(cleaned: DataFrame, labels: DataFrame) -> DataFrame:
 def summary(scores: DataFrame, value: str, *keys: str) -> DataFrame:
     """Mean, range text (only if it is one), successes and failures (value NULL) by key."""
     v = F.col(value)
-    shown = F.format_string("%.2f", F.avg(v))
+    shown = F.when(F.count(v) > 0, F.format_string("%.2f", F.avg(v)))
     span = F.when(F.min(v) != F.max(v), F.concat(shown, F.format_string(" [%.2f-%.2f]", F.min(v), F.max(v)))).otherwise(shown)
     return scores.groupBy(*keys).agg(F.avg(v).alias("mean"), span.alias("shown"), F.count(v).alias("n"), F.count_if(v.isNull()).alias("failed"))
 
