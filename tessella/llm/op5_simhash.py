@@ -156,6 +156,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
     named = members.join(least, "root").select("fp", "component_id")
     of = first.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # Both sides are read from storage, so Spark can split a fingerprint that very many copies share.
+    of = settle(of, "fingerprint-components")
     return fps.join(of, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
