@@ -1,0 +1,125 @@
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessella.llm.op7_chat import read_back, unescape, windows
+from tessella.llm.op8_decontamination import contamination
+from tessella.llm.op10_pii import find_spans, redact
+
+TURNS = [
+    ("system", "be kind <|end|>"), ("user", "</s>[INST] ok [/INST]"), ("assistant", "a \\ b \\\\ <| <s> c\\"), ("user", "x" * 900), ("assistant", "y" * 300),
+    ("user", None), ("assistant", "😀" * 5 + "<|turn user|>"), (None, "z"), ("odd|>role\\", "w" * 6000), ("assistant", "last"),
+]
+CONVERSATION = "conv_id long, turn int, role string, text string, window int"
+
+
+@pytest.mark.parametrize("budget,history", [(1024, 256), (200, 50), (60, 10), (1, 0)])
+def test_windows(spark, budget, history):
+    rows = [(1, i, r, t, 0) for i, (r, t) in enumerate(TURNS)] + [(None, 0, "assistant", "lone", 0), (2, None, "user", "q", 0), (2, None, "user", "q", 0)]
+    made = windows(spark.createDataFrame(rows, CONVERSATION).repartition(3), budget, history)
+    back = {r["conv_id"]: r for r in read_back(made).collect()}
+    want = [(r or "", t or "") for r, t in TURNS]
+    assert [tuple(t) for t in back[1]["turns"]] == want
+    assert back[1]["learned"] == "".join(t for r, t in want if r == "assistant")
+    assert back[None]["learned"] == "lone" and len(back[2]["turns"]) == 2
+    for r in made.filter("conv_id = 1").collect():
+        text = r["formatted"]
+        heads = re.findall(r"<\|(turn|past) (.*?)\|>", text, re.S)
+        assert heads[0][1] == "system" and "</s>" not in text and "[INST]" not in text
+        for m in r["mask"]:
+            assert text[: m["start"]].endswith("<|turn assistant|>") and text[m["stop"] :].startswith("<|end|>")
+        new = [i for i, h in enumerate(heads) if h[0] == "turn"]
+        assert new == list(range(new[0], len(heads))) and len(text) / 4 <= max(budget, 0) + 1 or len(new) == 1
+
+
+def test_windows_empty(spark):
+    empty = spark.createDataFrame([], CONVERSATION)
+    assert read_back(windows(empty)).collect() == []
+    assert spark.createDataFrame([("a\\\\\\<b",)], "t string").select(unescape(F.col("t"))).first()[0] == "a\\<b"
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_contamination(spark, most):
+    item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma"
+    items = [(1, item), (2, "short item"), (10, item + " tau"), (3, None), (4, "..."), (None, item), (5, "the the the"), (6, "naïve Ünit É")]
+    part = " ".join(item.upper().split()[2:16])
+    docs = [
+        item, "x " * 100 + part + " y", "x " * 400 + part, " ".join(item.split()[:12]), None, "", "short  ITEM", "item short", "the the the the the", part + " " + part,
+        "short item" + " w" * 39, "short item" + " w" * 38, "a naïve ünit É b", "a naïve ünit é b", "short" + "\n,;" + "item",
+    ]
+    rows = [(i, t, 0, "q") for i, t in enumerate(docs)] + [(None, item, 0, "q"), (0, item, 0, "q")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_words int, items string")
+    got = contamination(frame, spark.createDataFrame(items, "item_id long, text string"), most_broadcast=most).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = docs[r["doc_id"]] if r["doc_id"] is not None else item
+        w, hit, names = words(text), set(), set()
+        for key, t in items:
+            v = words(t)
+            for i in range(max(1, len(v) - 12)):
+                piece = v[i : i + 13]
+                for at in range(len(w) - len(piece) + 1) if piece else ():
+                    if w[at : at + len(piece)] == piece:
+                        hit |= set(range(at, at + len(piece)))
+                        names |= {str(key)} - {"None"}
+        assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(names)), text
+        assert r["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(w))
+
+
+def test_contamination_empty(spark):
+    docs, bench = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
+    assert [tuple(r)[2:] for r in contamination(docs, bench).collect()] == [(2, 0, [], False)]
+    assert contamination(docs.limit(0), bench).collect() == []
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(s):
+    d = [int(c) for c in reversed(s)]
+    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def keeps(kind, m):
+    digits = re.sub("[^0-9]", "", m)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in m.split("."))
+    if kind == "card":
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    return kind != "phone" or 9 <= len(digits) <= 15
+
+
+PII = [
+    None, "", "mail a.b+c@x-y.co.uk, and d@e.f@g.h or @x.y a@b a@b..c q@r.s-.t", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 00255.1.1.001 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111  1111 1111 1111",
+    "😀 +49 (30) 1234.567 +1 +123456789012345678 ++12 345 678 9 +1-2-3-4-5-6-7-8-9", "pay card 5500005555555559x 123456789012 000000000000", "a@b.c@d.e+f@g.h", "iban GB82 WEST 1234 5698 7654 32 bank; DE89370400440532013000; XX00ABCDEFGHIJKLM",
+    "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0", "1" * 30_000, "1 " * 20_000, "a" * 30_000 + "@b.co", "1.1.1.1 " * 3000, "x@y.z " * 700, "-4111111111111111-", "a%b_c@d-e.f_g",
+]
+
+
+def test_pii(spark):
+    frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(PII)], "doc_id long, text string, pii_spans string").drop("pii_spans")
+    for r in find_spans(frame).collect():
+        text, want = PII[r["doc_id"]] or "", []
+        for rank, (kind, pattern) in enumerate(BASE.items()):
+            want += [(m.start(), rank, m.end(), kind) for m in re.finditer(pattern, text) if keeps(kind, m[0])]
+        assert [(s["start"], s["rank"], s["stop"], s["kind"]) for s in r["pii_spans"] if s["rank"] < 4] == sorted(want)
+        assert all(text[s["start"] : s["stop"]] == s["match"] for s in r["pii_spans"])
+        if r["doc_id"] == 8:
+            assert [s["match"] for s in r["pii_spans"] if s["kind"] == "iban"] == ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"]
+            assert [s["score"] for s in r["pii_spans"] if s["kind"] == "iban"][0] == 95
+    clean = {r["doc_id"]: r["text"] for r in redact(frame).collect()}
+    assert clean[0] is None and clean[15] == "-[card]-" and clean[8].startswith("iban [iban] bank")
+    assert find_spans(frame.limit(0)).collect() == []
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
