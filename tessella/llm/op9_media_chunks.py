@@ -150,14 +150,16 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     recipes = meta.groupBy("content").agg(F.first("recipe").alias("recipe"))
     entries = settle(recipes.select("content", F.posexplode("recipe").alias("place", "e")).select("content", "place", "e.*"), "media-entries")
     owners = settle(
-        entries.groupBy("digest").agg(
-            F.min(F.struct("content", "place")).alias("owner"), (F.min("content") != F.max("content")).alias("shared")
-        ),
-        "media-owners",
+        entries.groupBy("digest")
+        .agg(F.min(F.struct("content", "place")).alias("owner"), F.max("content").alias("last"))
+        .filter(F.col("owner.content") != F.col("last"))
+        .drop("last"),
+        "media-shared",
     )
-    owned = (F.col("owner.content") == F.col("content")) & (F.col("owner.place") == F.col("place"))
+    owned = F.coalesce((F.col("owner.content") == F.col("content")) & (F.col("owner.place") == F.col("place")), F.lit(False))
     plan = (
-        entries.join(owners, "digest")
+        entries.join(owners, "digest", "left")
+        .withColumn("shared", F.col("owner").isNotNull())
         .select("content", F.struct("place", "digest", "size", "shared", owned.alias("owned")).alias("e"))
         .groupBy("content")
         .agg(F.array_sort(F.collect_list("e")).alias("entries"))
