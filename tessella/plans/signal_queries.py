@@ -126,7 +126,7 @@ _AVERAGE = """(select rec_id, f, avg(w) as v from (select x.rec_id, x.f, y.v as
 SQL = {
     "pcm_stats": f"""
 with {USER_SAMPLES}
-select rec_id, max(abs(x)) as peak, round(sqrt(avg(x * x)), 6) as rms, case when max(abs(x)) > 0 then round_even(log10(max(abs(x)) / 32767) * 20, 2) end as peak_db from samples group by 1""",
+select rec_id, max(abs(x)) as peak, round(sqrt(avg(x * x)), 6) as rms, case when max(abs(x)) > 0 then round_even(log10(max(abs(x)) / 32767) * 20, 2) + 0.0::double end as peak_db from samples group by 1""",
     "frame_loudness": f"with {_FRAMES} select rec_id, f, round(db, 6) as db from frames",
     "level_summary": f"""
 with {_FRAMES}, m as (select rec_id, quantile_cont(db, 0.5) as median from frames group by 1)

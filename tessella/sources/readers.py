@@ -33,7 +33,7 @@ def stem(path: Column) -> Column:
 
 def decoded(content: Column) -> Column:
     """UTF-8 with replacement of what isn't, without a byte order mark."""
-    return F.regexp_replace(F.decode(content, "UTF-8"), "^﻿", "")
+    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^\\x{FEFF}", "")
 
 
 def transcripts(spark: SparkSession, paths: list[str], run_id: str = "run") -> DataFrame:
@@ -162,7 +162,7 @@ def wav_samples(files: DataFrame) -> DataFrame:
                     x = np.frombuffer(w.readframes(w.getnframes()), "<i2")
                     rows.append((w.getframerate(), x, len(x) / w.getframerate(), None))
             except (ValueError, EOFError, wave.Error) as e:
-                rows.append((None, None, None, str(e)))
+                rows.append((None, None, None, str(e) or type(e).__name__))
         return pd.DataFrame(rows, columns=["sample_rate", "samples", "seconds", "error"])
 
     return files.withColumn("_w", run("content")).select("path", "_w.*")
