@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import wave
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -13,20 +15,35 @@ from tessella.functions.text import trim_space
 from tessella.operators.naming import export_names
 
 
-def replace_text(path: str | Path, text: str) -> None:
+def replace_file(path: str | Path, data: bytes) -> None:
     """Write a local file beside the old one and rename it; a failure leaves the old one."""
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
     handle, name = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
     try:
-        with os.fdopen(handle, "w", encoding="utf-8") as f:
-            f.write(text)
+        with os.fdopen(handle, "wb") as f:
+            f.write(data)
         os.replace(name, path)
     except BaseException:
         Path(name).unlink(missing_ok=True)
         raise
 
 
+def replace_text(path: str | Path, text: str) -> None:
+    replace_file(path, text.encode())
+
+
+def wav_bytes(pcm: bytes, rate: int) -> bytes:
+    """A mono recording of 16 bits as a WAV file."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes(pcm)
+    return out.getvalue()
+
+
 def claim(path: str | Path, text: str) -> Path:
     """Write a new local file, never over another: -2, -3, ... up to -999 behind its stem."""
     path = Path(path)
