@@ -4,12 +4,13 @@ Windows: every ``width`` consecutive words of a benchmark item, or the whole ite
 join are single words, ordered by rarity: how often the documents hold them, ties by code point. To contain a window
 exactly a document must contain each of its words, so one prefix token, the rarest, is necessary and enough: the
 document's words are joined with the windows' prefix tokens. A meeting fixes the alignment; the positional bound (the window
-must start and end within the text) and the length bound (no shorter document) come first, then the window
-is compared word by word with the slice of its own size.
+must start and end within the text) and the length bound (no shorter document) come first, then the slice of the
+window's size is compared by hash and, of what is left, word by word.
 
-Scale: the words of documents are exploded within the scan and meet the prefix tokens in the same stage when those are
-small enough for Spark to broadcast by its size limit, else in a shuffled join; only verified occurrences are shuffled
-by document. Occurrences are merged as intervals, never expanded into words.
+Scale: prefix tokens (a word, its offset, a key) are counted; up to ``MOST_BROADCAST`` they are broadcast and meet the words of
+documents within the scan, so only matches are shuffled. Beyond that the places of words are shuffled, without the
+texts, and the bounds are applied before they meet their texts again. Occurrences are merged as intervals, never
+expanded into words.
 
 Edge cases: a null or wordless text has 0 words and 0 hits and is clean; null or wordless items have no windows. Equal
 windows of several items count for each of them; null item ids are left out of the list. Repeated document
@@ -26,6 +27,8 @@ from tessella.llm.common import ascii_lower, settle, table
 
 #: A word before lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Rows of words or prefix tokens up to which they are broadcast.
+MOST_BROADCAST = 200_000
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -47,33 +50,55 @@ def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
     )
 
 
-def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, windows: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Verified rows (doc_id, text_key, start, stop, items): words start to stop - 1 of the document are the window."""
     words = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
-    vocabulary = windows.select(F.explode("window").alias("word")).distinct()
-    seen = words.select(F.explode("words").alias("word")).join(vocabulary, "word").groupBy("word").count()
+    windows = settle(windows.withColumn("window_key", F.xxhash64("window")), "windows")
+    vocabulary = settle(windows.select(F.explode("window").alias("word")).distinct(), "vocabulary")
+    tokens = words.select(F.explode("words").alias("word"))
+    if vocabulary.count() <= most_broadcast:
+        seen = tokens.join(F.broadcast(vocabulary), "word").groupBy("word").count()
+    else:
+        seen = tokens.groupBy("word").count().join(vocabulary, "word")
     # A window with a word that no document holds cannot occur and drops out here.
     ranked = (
-        windows.withColumn("window_key", F.xxhash64("window"))
-        .select("window", "items", "window_key", F.posexplode("window").alias("offset", "word"))
+        windows.select("window_key", F.size("window").alias("length"), F.posexplode("window").alias("offset", "word"))
         .join(seen, "word")
-        .groupBy("window_key", "window", "items")
+        .groupBy("window_key", "length")
         .agg(F.count("*").alias("found"), F.min(F.struct("count", "word", "offset")).alias("rarest"))
-        .filter(F.col("found") == F.size("window"))
-        .select(F.col("rarest.word").alias("word"), F.col("rarest.offset").alias("offset"), "window", "items")
+        .filter(F.col("found") == F.col("length"))
+        .select(F.col("rarest.word").alias("word"), F.col("rarest.offset").alias("offset"), "length", "window_key")
     )
     prefixes = settle(ranked, "prefix-tokens")
-    at = words.select("doc_id", "text_key", "words", F.posexplode("words").alias("pos", "word"))
-    start, length = F.col("pos") - F.col("offset"), F.size("window")
-    bounds = (start >= 0) & (start + length <= F.size("words"))
-    same = F.slice("words", start + 1, length) == F.col("window")
-    met = at.alias("d").join(prefixes.alias("p"), (F.col("d.word") == F.col("p.word")) & F.when(bounds, same).otherwise(False))
-    return met.select("doc_id", "text_key", start.alias("start"), (start + length).alias("stop"), "items")
+    start = F.col("pos") - F.col("offset")
+    size = F.size("words")
+    inside = (start >= 0) & (start + F.col("length") <= size)
+    # Spark may evaluate the slice before the bounds, so its start is made valid.
+    piece = F.slice("words", F.greatest(start + 1, F.lit(1)), F.col("length"))
+    same = F.xxhash64(piece) == F.col("window_key")
+    if prefixes.count() <= most_broadcast:
+        met = words.select("*", F.posexplode("words").alias("pos", "word")).join(F.broadcast(prefixes), "word").filter(inside & same)
+    else:
+        # The words of a text stay where they are; places alone are shuffled and then brought to their texts.
+        places = words.select("doc_id", "text_key", size.alias("size"), F.posexplode("words").alias("pos", "word"))
+        places = places.join(prefixes, "word").filter((start >= 0) & (start + F.col("length") <= F.col("size"))).drop("size", "word")
+        places = places.withColumnsRenamed({"doc_id": "place_id", "text_key": "place_key"}).distinct()
+        of = F.col("doc_id").eqNullSafe(F.col("place_id")) & (F.col("text_key") == F.col("place_key"))
+        met = places.join(words, of).filter(same)
+    found = met.select(
+        "doc_id", "text_key", start.alias("start"), (start + F.col("length")).alias("stop"), "window_key", piece.alias("words")
+    )
+    # The keys have met; now the words themselves.
+    return (
+        found.join(windows, "window_key").filter(F.col("words") == F.col("window")).select("doc_id", "text_key", "start", "stop", "items")
+    )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, most_broadcast: int = MOST_BROADCAST
+) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items (sorted) and contaminated (n_hit of at least 1/share of the words)."""
-    found = settle(occurrences(docs, windows_of(benchmark, width)).distinct(), "occurrences")
+    found = settle(occurrences(docs, windows_of(benchmark, width), most_broadcast).distinct(), "occurrences")
     reach = Window.partitionBy("doc_id", "text_key").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.select("doc_id", "text_key", "start", "stop").distinct()
     hits = (
