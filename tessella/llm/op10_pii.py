@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.text import let
 from tessella.llm.common import table
 
 CONTEXT = 40
@@ -87,7 +88,10 @@ def _passes(kind: str, match: Column) -> Column:
 def _starts(gaps: Column, matches: Column) -> Column:
     """Offsets of the matches: gap 1, match 1, gap 2, ... in order; sums within blocks, then over blocks."""
     steps = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("g"), F.coalesce(F.length(m), F.lit(0)).alias("m")))
+    return let(steps, _summed)
 
+
+def _summed(steps: Column) -> Column:
     def block(first: Column) -> Column:
         none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
         return F.aggregate(
@@ -98,7 +102,7 @@ def _starts(gaps: Column, matches: Column) -> Column:
             ),
         )
 
-    blocks = F.transform(F.sequence(F.lit(1), F.size(gaps), F.lit(BLOCK)), block)
+    blocks = F.transform(F.sequence(F.lit(1), F.size(steps), F.lit(BLOCK)), block)
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("all"))
     summed = F.aggregate(
         blocks,

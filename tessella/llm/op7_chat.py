@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.text import let
 from tessella.llm.common import settle, table
 
 BUDGET, HISTORY = 1024, 256
@@ -62,24 +63,33 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
             F.struct((s["used"] + c).alias("used"), s["w"].alias("w"), F.concat(s["all"], F.array(s["w"])).alias("all")),
         ).otherwise(F.struct(c.alias("used"), (s["w"] + 1).alias("w"), F.concat(s["all"], F.array(s["w"] + 1)).alias("all"))),
     )
+    turn = lambda k: F.element_at("turns", k)
+
+    def pieces(window: Column) -> Column:
+        """What a window holds: the turns that it repeats, then its own."""
+
+        def of(first: Column) -> Column:
+            start = F.element_at("before", first)
+            new = lambda k: F.element_at("places", k) == window
+            past = lambda k: (k < first) & ((start - F.element_at("before", k) <= history) | ((k == 1) & system))
+            piece = lambda k: F.struct(
+                F.concat(F.when(new(k), "<|turn ").otherwise("<|past "), turn(k)["role"], F.lit("|>")).alias("head"),
+                turn(k)["text"].alias("text"),
+                (new(k) & (turn(k)["role"] == "assistant")).alias("learned"),
+            )
+            return F.transform(F.filter(F.sequence(F.lit(1), F.size("turns")), lambda k: past(k) | new(k)), piece)
+
+        return let(F.array_position("places", window).cast("int"), of)
+
+    # Only the turns that a window holds go into its row.
     spans = (
         convs.withColumn("costs", F.transform("turns", cost))
         .withColumn("before", _running(F.col("costs")))
         .withColumn("room", room)
         .withColumn("places", place["all"])
-        .select("conv_id", "turns", "before", "places", F.explode(F.array_distinct("places")).alias("window"))
-        .withColumn("first", F.array_position("places", F.col("window")).cast("int"))
-    )
-    i = F.sequence(F.lit(1), F.size("turns"))
-    past = lambda k: (k < F.col("first")) & (
-        (F.element_at("before", F.col("first")) - F.element_at("before", k) <= history) | ((k == 1) & system)
-    )
-    new = lambda k: F.element_at("places", k) == F.col("window")
-    head = lambda k: F.concat(F.when(new(k), "<|turn ").otherwise("<|past "), F.element_at("turns", k)["role"], F.lit("|>"))
-    piece = lambda k: F.struct(
-        head(k).alias("head"),
-        F.element_at("turns", k)["text"].alias("text"),
-        (new(k) & (F.element_at("turns", k)["role"] == "assistant")).alias("learned"),
+        .withColumn("windows", F.transform(F.array_distinct("places"), lambda w: F.struct(w.alias("window"), pieces(w).alias("pieces"))))
+        .select("conv_id", F.explode("windows").alias("w"))
+        .select("conv_id", "w.window", "w.pieces")
     )
     start = lambda s, p: s["at"] + F.length(p["head"])
     stop = lambda s, p: start(s, p) + F.length(p["text"])
@@ -93,12 +103,8 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
             .alias("mask"),
         ),
     )
-    return spans.withColumn("pieces", F.transform(F.filter(i, lambda k: past(k) | new(k)), piece)).select(
-        "conv_id",
-        "window",
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["text"], F.lit(END))), "").alias("formatted"),
-        mask["mask"].alias("mask"),
-    )
+    formatted = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["text"], F.lit(END))), "")
+    return spans.select("conv_id", "window", formatted.alias("formatted"), mask["mask"].alias("mask"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
