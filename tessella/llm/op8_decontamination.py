@@ -8,7 +8,8 @@ must start and end within the text) and the length bound (no shorter document) c
 window's size is compared by hash and, of what is left, word by word.
 
 Scale: prefix tokens (a word, its offset, a key) are counted; up to ``MOST_BROADCAST`` they are broadcast and meet the words of
-documents within the scan, so only matches are shuffled. Beyond that the places of words are shuffled, without the
+documents within the scan, so only matches are shuffled. (The comparison there has generated code; a lambda in it would make
+Spark copy the text for each word.) Beyond that the places of words are shuffled, without the
 texts, and the bounds are applied before they meet their texts again. Occurrences are merged as intervals, never
 expanded into words.
 
@@ -57,7 +58,7 @@ def occurrences(docs: DataFrame, windows: DataFrame, most_broadcast: int = MOST_
     vocabulary = settle(windows.select(F.explode("window").alias("word")).distinct(), "vocabulary")
     tokens = words.select(F.explode("words").alias("word"))
     if vocabulary.count() <= most_broadcast:
-        seen = tokens.join(F.broadcast(vocabulary), "word").groupBy("word").count()
+        seen = F.broadcast(tokens.join(F.broadcast(vocabulary), "word").groupBy("word").count())
     else:
         seen = tokens.groupBy("word").count().join(vocabulary, "word")
     # A window with a word that no document holds cannot occur and drops out here.
