@@ -9,7 +9,7 @@ window's size is compared by hash and, of what is left, word by word.
 
 Scale: prefix tokens (a word, its offset, a key) are counted; up to ``MOST_BROADCAST`` they are broadcast and meet the words of
 documents within the scan, so only matches are shuffled. (The comparison there has generated code; a lambda in it would make
-Spark copy the text for each word.) Beyond that the places of words are shuffled, without the
+Spark copy the text for each word. Words are lower-cased one by one, since translating a whole text is slow.) Beyond that the places of words are shuffled, without the
 texts, and the bounds are applied before they meet their texts again. Occurrences are merged as intervals, never
 expanded into words.
 
@@ -26,44 +26,52 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import ascii_lower, settle, table
 
-#: A word before lower-casing.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rows of words or prefix tokens up to which they are broadcast.
 MOST_BROADCAST = 200_000
-BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, before lower-casing.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased words; an empty array for null."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), lambda w: w != "")
+    """The words as they are written; an empty array for null."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
+
+
+def lowered(word: Column) -> Column:
+    """``ascii_lower`` of a word; the costly way only where the word has other than ASCII characters."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(ascii_lower(word))
 
 
 def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
-    """Distinct windows with the items that have them: (window, items)."""
+    """Distinct windows, lower-cased words joined by spaces, with their length and the items that have them."""
     n = F.size("words")
     starts = F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)))
+    window = lambda i: ascii_lower(F.array_join(F.slice("words", i, width), " "))
     return (
         benchmark.select("item_id", words_of(F.col("text")).alias("words"))
         .filter(n > 0)
-        .select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, width))).alias("window"))
-        .groupBy("window")
+        .select("item_id", F.least(n, F.lit(width)).alias("length"), F.explode(F.transform(starts, window)).alias("window"))
+        .groupBy("window", "length")
         .agg(F.collect_set("item_id").alias("items"))
     )
 
 
-def occurrences(docs: DataFrame, windows: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """Verified rows (doc_id, text_key, start, stop, items): words start to stop - 1 of the document are the window."""
+def occurrences(docs: DataFrame, windows: DataFrame, most_broadcast: int = MOST_BROADCAST) -> tuple[DataFrame, DataFrame]:
+    """Every document row as (doc_id, text_key, n_words), and verified rows (doc_id, text_key, start, stop, items).
+
+    Words start to stop - 1 of the document are a window of these items.
+    """
     words = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
     windows = settle(windows.withColumn("window_key", F.xxhash64("window")), "windows")
-    vocabulary = settle(windows.select(F.explode("window").alias("word")).distinct(), "vocabulary")
-    tokens = words.select(F.explode("words").alias("word"))
+    vocabulary = settle(windows.select(F.explode(F.split("window", " ")).alias("word")).distinct(), "vocabulary")
+    tokens = words.select(F.explode("words").alias("word")).select(lowered(F.col("word")).alias("word"))
     if vocabulary.count() <= most_broadcast:
         seen = F.broadcast(tokens.join(F.broadcast(vocabulary), "word").groupBy("word").count())
     else:
         seen = tokens.groupBy("word").count().join(vocabulary, "word")
     # A window with a word that no document holds cannot occur and drops out here.
     ranked = (
-        windows.select("window_key", F.size("window").alias("length"), F.posexplode("window").alias("offset", "word"))
+        windows.select("window_key", "length", F.posexplode(F.split("window", " ")).alias("offset", "word"))
         .join(seen, "word")
         .groupBy("window_key", "length")
         .agg(F.count("*").alias("found"), F.min(F.struct("count", "word", "offset")).alias("rarest"))
@@ -72,34 +80,45 @@ def occurrences(docs: DataFrame, windows: DataFrame, most_broadcast: int = MOST_
     )
     prefixes = settle(ranked, "prefix-tokens")
     start = F.col("pos") - F.col("offset")
-    size = F.size("words")
-    inside = (start >= 0) & (start + F.col("length") <= size)
+    n_words = F.size("words").cast("long").alias("n_words")
     # Spark may evaluate the slice before the bounds, so its start is made valid.
-    piece = F.slice("words", F.greatest(start + 1, F.lit(1)), F.col("length"))
+    piece = ascii_lower(F.array_join(F.slice("words", F.greatest(start + 1, F.lit(1)), F.col("length")), " "))
     same = F.xxhash64(piece) == F.col("window_key")
+    columns = ["doc_id", "text_key", n_words, start.alias("start"), (start + F.col("length")).alias("stop"), "window_key", piece.alias("piece")]
     if prefixes.count() <= most_broadcast:
-        met = words.select("*", F.posexplode("words").alias("pos", "word")).join(F.broadcast(prefixes), "word").filter(inside & same)
+        # One more word, the empty one, ends each text; its row brings the number of words from the same scan.
+        end = docs.sparkSession.createDataFrame([("", 0, 0, None)], "word string, offset int, length int, window_key long")
+        placed = words.select("*", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "raw"))
+        inside = (start >= 0) & (start + F.col("length") <= F.size("words"))
+        met = (
+            placed.withColumn("word", lowered(F.col("raw")))
+            .join(F.broadcast(prefixes.union(end)), "word")
+            .filter(F.col("window_key").isNull() | (inside & same))
+            .select(*columns)
+        )
+        met = settle(met, "meetings")
+        base = met.filter("window_key is null").select("doc_id", "text_key", "n_words")
+        met = met.filter("window_key is not null")
     else:
+        base = words.select("doc_id", "text_key", n_words)
         # The words of a text stay where they are; places alone are shuffled and then brought to their texts.
-        places = words.select("doc_id", "text_key", size.alias("size"), F.posexplode("words").alias("pos", "word"))
-        places = places.join(prefixes, "word").filter((start >= 0) & (start + F.col("length") <= F.col("size"))).drop("size", "word")
+        places = words.select("doc_id", "text_key", F.size("words").alias("size"), F.posexplode("words").alias("pos", "raw"))
+        places = places.withColumn("word", lowered(F.col("raw"))).join(prefixes, "word")
+        places = places.filter((start >= 0) & (start + F.col("length") <= F.col("size"))).drop("size", "word", "raw")
         places = places.withColumnsRenamed({"doc_id": "place_id", "text_key": "place_key"}).distinct()
         of = F.col("doc_id").eqNullSafe(F.col("place_id")) & (F.col("text_key") == F.col("place_key"))
-        met = places.join(words, of).filter(same)
-    found = met.select(
-        "doc_id", "text_key", start.alias("start"), (start + F.col("length")).alias("stop"), "window_key", piece.alias("words")
-    )
+        met = places.join(words, of).filter(same).select(*columns)
     # The keys have met; now the words themselves.
-    return (
-        found.join(windows, "window_key").filter(F.col("words") == F.col("window")).select("doc_id", "text_key", "start", "stop", "items")
-    )
+    found = met.join(windows, "window_key").filter(F.col("piece") == F.col("window"))
+    return base, found.select("doc_id", "text_key", "start", "stop", "items")
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, most_broadcast: int = MOST_BROADCAST
 ) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items (sorted) and contaminated (n_hit of at least 1/share of the words)."""
-    found = settle(occurrences(docs, windows_of(benchmark, width), most_broadcast).distinct(), "occurrences")
+    base, found = occurrences(docs, windows_of(benchmark, width), most_broadcast)
+    found = settle(found.distinct(), "occurrences")
     reach = Window.partitionBy("doc_id", "text_key").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.select("doc_id", "text_key", "start", "stop").distinct()
     hits = (
@@ -115,10 +134,6 @@ def contamination(
     hit = hits.join(items.withColumnsRenamed({"doc_id": "i", "text_key": "k"}), F.col("doc_id").eqNullSafe(F.col("i")) & F.col("text_key").eqNullSafe(F.col("k")), "left").select(
         F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "n_hit", "items"
     )
-    base = docs.select(
-        "doc_id", F.xxhash64("text").alias("text_key"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
-    )
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     of = F.coalesce("items", F.array().cast("array<string>"))
     return base.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left").select(
