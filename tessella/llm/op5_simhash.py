@@ -47,17 +47,24 @@ def pivots(n: int = PIVOTS) -> list[int]:
     return out
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included."""
+def shingles(text: str | None, width: int = 3) -> np.ndarray:
+    """The 64-bit hashes of a text's word shingles, repeats included; a text of fewer words is one shingle."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     width = min(width, len(words))
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[: len(words) - width] + 1)).tolist()
     digest = partial(xxhash.xxh64_intdigest, seed=42)
-    hashes = np.array([digest(line[a:b]) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([digest(line[a:b]) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], "<u8")
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included."""
+    hashes = shingles(text, width)
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), STRIDE):
         bits = np.unpackbits(hashes[i : i + STRIDE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
