@@ -40,7 +40,8 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+)>|</?[A-Za-z][^<>]*+>",
     re.S,
 )
-ATTR = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
+ATTR = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+MARKS = frozenset("class id role style hidden aria-hidden".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp".split())
 INLINE = frozenset(
@@ -123,7 +124,9 @@ class _Page:
         kinds = ""
         if attrs:
             for name, *values in ATTR.findall(attrs):
-                value, name = next((v for v in values if v), "").lower(), name.lower()
+                if (name := name.lower()) not in MARKS:
+                    continue
+                value = next((v for v in values if v), "").lower()
                 if name in ("class", "id"):
                     words += SPACE.split(value)
                     kinds += "." * (name == "class") + value * (name == "class")

@@ -56,3 +56,9 @@ def test_keys(spark):
     rows = spark.createDataFrame([(None, None, "<p>a</p>")] * 2, KIND).withColumn("host", F.lit("x")).withColumn("parts", F.lit(1))
     assert [tuple(r) for r in main_text(rows).collect()] == [(None, None, "a")] * 2
     assert parse(rows).count() == 2
+
+
+def test_values_are_no_attributes(spark):
+    page = """<article><p title="the hidden cost" data-x='a hidden b'>Words <a href="/hidden-gems">of</a> <a href=/wiki/hidden>this</a> <a alt=' class="ad" '>page</a>
+    <i data-hidden>stay</i></p><p hidden>no</p><p class=x hidden="">no</p><p HIDDEN=hidden>no</p><p aria-hidden = "true">no</p></article>"""
+    assert read(spark, [("a", page)])[0] == "Words of this page stay"
