@@ -11,7 +11,8 @@ no pattern, and a page that would lose every block is taken for a copy and keeps
 Entropy alone can't tell a menu or an advert whose words differ on every page from content, nor an article that many
 pages of a host repeat from a template. Presentation evidence therefore comes first: elements that HTML or their class names
 as menu, header, footer, sidebar, notice, advert, form, script, style or comments are noise, and blocks within ``article`` or
-``main`` are content. The tree decides about all other blocks.
+``main`` are content. An ``article`` or ``main`` inside an element that only its class names mark is content too, unless
+these name comments or replies or the element is part of another article. The tree decides about all other blocks.
 
 Scale: pages are parsed once, within the scan, into blocks; only the hashes of undecided blocks are shuffled, counted per
 host, node and feature with map-side combining. Blocks that no other page of the host repeats leave before any join.
@@ -57,6 +58,8 @@ NOISE_WORDS = frozenset(
     "notice notices notification pager pagination popup promo promoted promotion recommended related replies reply respond responses search share "
     "sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+#: Noise words whose elements hold articles that are noise too.
+REPLIES = frozenset("comment comments commentlist disqus replies reply respond responses".split())
 CONTENT = frozenset(["article", "main"])
 #: Elements that an end tag of an inner kind doesn't reach beyond.
 SCOPE = frozenset("article aside body div footer form header html main nav section table td th".split())
@@ -78,10 +81,11 @@ class _Page:
         self.blocks: list[tuple[str, int, bool]] = []
         self.styles: set[tuple[int, int]] = set()
         self.text: list[str] = []
-        # Open elements: tag, node, style so far, last child, whether it begins noise, whether it is content.
-        self.open: list[list] = [["", 0, 0, "", False, False]]
+        # Open elements: tag, node, style so far, last child, whether it begins noise, whether it is content, whether its
+        # noise can be suspended, how much of that it suspends.
+        self.open: list[list] = [["", 0, 0, "", False, False, False, 0]]
         self.count: Counter[str] = Counter()
-        self.noise = self.content = 0
+        self.noise = self.content = self.wrapped = 0
         self.read(source)
         while len(self.open) > 1:
             self.pop()
@@ -92,18 +96,19 @@ class _Page:
         if self.text:
             block = " ".join(html.unescape("".join(self.text)).split())
             self.text = []
-            if block and not self.noise:
+            if block and not self.noise and not self.wrapped:
                 self.blocks.append((block, self.open[-1][1], self.content > 0))
 
     def pop(self) -> None:
-        tag, node, style, _, noise, content = self.open[-1]
+        tag, node, style, _, noise, content, wraps, suspended = self.open[-1]
         if tag not in INLINE:
             self.flush()
         self.open.pop()
         self.count[tag] -= 1
-        self.noise -= noise
+        self.noise -= noise and not wraps
+        self.wrapped += suspended - wraps
         self.content -= content
-        if not self.noise and not self.content:
+        if not self.noise and not self.wrapped and not self.content:
             self.styles.add((node, style))
 
     def close(self, tag: str, scope: frozenset[str]) -> None:
@@ -120,7 +125,7 @@ class _Page:
 
     def start(self, tag: str, attrs: str) -> None:
         words: list[str] = []
-        noise = tag in NOISE_TAGS
+        noise, wraps = tag in NOISE_TAGS, False
         kinds = ""
         if attrs:
             for name, *values in ATTR.findall(attrs):
@@ -140,8 +145,9 @@ class _Page:
             noise = False
         elif not noise:
             noise = not NOISE_WORDS.isdisjoint(words)
-        if tag == "header":
-            noise |= not self.content
+            wraps = noise and tag not in CONTENT and REPLIES.isdisjoint(words) and self.count["article"] <= 0
+        if tag == "header" and not self.content:
+            noise, wraps = True, False
         if tag in INLINE and not noise:
             return
         if tag not in INLINE:
@@ -160,9 +166,11 @@ class _Page:
         if parent[3] != signature:
             parent[2], parent[3] = _hash(parent[2], signature), signature
         content = tag in CONTENT and not noise
-        self.open.append([tag, _hash(parent[1], signature), 0, "", noise, content])
+        suspended = self.wrapped if content else 0
+        self.open.append([tag, _hash(parent[1], signature), 0, "", noise, content, wraps, suspended])
         self.count[tag] += 1
-        self.noise += noise
+        self.noise += noise and not wraps
+        self.wrapped += wraps - suspended
         self.content += content
 
     def read(self, source: str) -> None:

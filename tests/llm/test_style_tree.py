@@ -62,3 +62,12 @@ def test_values_are_no_attributes(spark):
     page = """<article><p title="the hidden cost" data-x='a hidden b'>Words <a href="/hidden-gems">of</a> <a href=/wiki/hidden>this</a> <a alt=' class="ad" '>page</a>
     <i data-hidden>stay</i></p><p hidden>no</p><p class=x hidden="">no</p><p HIDDEN=hidden>no</p><p aria-hidden = "true">no</p></article>"""
     assert read(spark, [("a", page)])[0] == "Words of this page stay"
+
+
+def test_articles_in_wrappers_stay(spark):
+    post = "<article><p>Story</p><div class=related><article>Teaser</article></div><div class=share>Send</div></article>"
+    wrappers = ['<div class="layout has-sidebar">', "<div id=content-share>", "<div class=ad-free><div class='widget widget-content'>", "<main><div class=has-sidebar>"]
+    got = read(spark, [("h", f"{w}<p>Side</p>{post}<p>Side</p></div></div><p>Rest {i}</p>") for i, w in enumerate(wrappers)])
+    assert got == {i: f"Story\nRest {i}" for i in range(4)}
+    noise = ["<div class=comments>", "<section id=replies><div class=widget>", "<div hidden class=has-sidebar>", "<aside class=ad>"]
+    assert set(read(spark, [("g", f"{w}{post}") for w in noise]).values()) == {""}
