@@ -123,3 +123,13 @@ def test_pii(spark):
     assert clean[0] is None and clean[15] == "-[card]-" and clean[8].startswith("iban [iban] bank")
     assert find_spans(frame.limit(0)).collect() == []
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_account_numbers_before_other_text(spark):
+    german, british, unknown = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "ZZ65 1234 5678 9012"
+    texts = [f"IBAN {german} BIC: COBADEFF", f"{german} 12 items", f"😀 {german} {british} END", f"DE12 {german}", german.replace(" ", "") + " X1", german + "1", "DE88" + german[4:], unknown]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = sorted(find_spans(frame).collect())
+    got = [[s["match"] for s in r["pii_spans"] if s["kind"] == "iban"] for r in rows]
+    assert got == [[german], [german], [german, british], [german], [german.replace(" ", "")], [], [], [unknown]]
+    assert all(r["text"][s["start"] : s["stop"]] == s["match"] for r in rows for s in r["pii_spans"])
