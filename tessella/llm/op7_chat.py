@@ -11,7 +11,9 @@ history may take; a longer turn stands alone. Every window retains the system tu
 and repeats the last turns before its span whose costs are at most ``history``. The loss mask holds the texts of assistant
 turns where they are new and never where they are repeated, so each is learned from once.
 
-Scale: one shuffle by conversation; a conversation is one row, as one hash over all its turns needs anyway.
+Scale: one shuffle by conversation; a conversation is one row, as one hash over all its turns needs anyway. Windows are found by
+a fold over the costs alone, with at most ``HISTORY / LEAST_COST`` steps back for each, and are slices of the turns, so
+the work grows with the turns and what windows repeat of them.
 
 Edge cases: a null text or role is empty; null conversation ids form one conversation; null turns come first, equal
 turns are ordered by role and text; repeated rows are turns of their own. An empty table gives an empty result. The
@@ -27,8 +29,12 @@ from tessella.functions.text import let
 from tessella.llm.common import settle, table
 
 BUDGET, HISTORY = 1024, 256
+#: Turns that a step of the fold takes.
+FOLD = 256
 CONTROL = r"[\\]|<(?=\||/?s>)|\[(?=/?INST\])"
 END = "<|end|>"
+#: Cost of an empty turn without a role.
+LEAST_COST = len("<|turn |>" + END) // 4
 
 
 def escape(text: Column, control: str = CONTROL) -> Column:
@@ -39,58 +45,82 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def _running(values: Column) -> Column:
-    """Sums before each element and, last, of all."""
-    return F.aggregate(values, F.array(F.lit(0)), lambda s, v: F.concat(s, F.array(F.element_at(s, -1) + v)))
+def _starts(costs: Column, room: Column) -> Column:
+    """First turns (from 1) of the windows: the budget's fold over costs alone, in blocks so that no array grows by each turn."""
+
+    def place(s: Column, at: Column) -> Column:
+        cost = F.element_at(costs, at)
+        fits = (at > 1) & (s["used"] + cost <= room)
+        return F.struct(
+            (cost + F.when(fits, s["used"]).otherwise(0)).alias("used"),
+            F.when(fits, s["firsts"]).otherwise(F.concat(s["firsts"], F.array(at))).alias("firsts"),
+        )
+
+    def block(s: Column, first: Column) -> Column:
+        none = F.struct(s["used"].alias("used"), F.array().cast("array<int>").alias("firsts"))
+        inner = F.aggregate(F.sequence(first, F.least(first + FOLD - 1, F.size(costs))), none, place)
+        return let(inner, lambda x: F.struct(x["used"].alias("used"), F.concat(s["all"], F.array(x["firsts"])).alias("all")))
+
+    none = F.struct(F.lit(0).alias("used"), F.array().cast("array<array<int>>").alias("all"))
+    return F.flatten(F.aggregate(F.sequence(F.lit(1), F.size(costs), F.lit(FOLD)), none, block)["all"])
+
+
+def _repeats(costs: Column, first: Column, history: int) -> Column:
+    """How many turns before ``first`` have costs of at most ``history`` together; each costs at least ``LEAST_COST``."""
+    most = history // LEAST_COST
+    if not most:
+        return F.lit(0)
+    back = F.when(first > 1, F.sequence(first - 1, F.greatest(first - most, F.lit(1)), F.lit(-1)))
+    none = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
+
+    def step(s: Column, at: Column) -> Column:
+        total = s["sum"] + F.element_at(costs, at)
+        return F.struct(total.alias("sum"), (s["n"] + (total <= history).cast("int")).alias("n"))
+
+    return F.coalesce(F.aggregate(back, none, step)["n"], F.lit(0))
+
+
+def spans(costs: Column, has_system: Column, budget: int, history: int) -> Column:
+    """Structs (first, past, stop) of a conversation's windows: own turns from first to stop - 1, repeated ones from past.
+
+    Every value is bound once by ``let``; a column named in a lambda would be computed anew for each element.
+    """
+    room = F.greatest(F.lit(budget) - history - F.when(has_system, F.element_at(costs, 1)).otherwise(0), F.lit(1))
+
+    def of(firsts: Column) -> Column:
+        stop = lambda i: F.coalesce(F.get(firsts, i + 1), F.size(costs) + 1)
+        return F.transform(
+            firsts, lambda f, i: F.struct(f.alias("first"), (f - _repeats(costs, f, history)).alias("past"), stop(i).alias("stop"))
+        )
+
+    return let(room, lambda r: let(_starts(costs, r), of))
 
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """Rows (conv_id, window, formatted, mask): mask lists the code points from start to stop that the loss covers."""
     role = escape(F.coalesce("role", F.lit("")), CONTROL + r"|\|(?=>)")
-    convs = (
+    turns = (
         conversations.select("conv_id", F.struct("turn", role.alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text")).alias("t"))
         .groupBy("conv_id")
         .agg(F.array_sort(F.collect_list("t")).alias("turns"))
     )
     cost = lambda t: F.ceil((F.length(t["role"]) + F.length(t["text"]) + len("<|turn |>" + END)) / 4).cast("int")
-    system = F.element_at("turns", 1)["role"] == "system"
-    room = F.greatest(F.lit(budget) - history - F.when(system, F.element_at("costs", 1)).otherwise(0), F.lit(1))
-    place = F.aggregate(
-        "costs",
-        F.struct(F.lit(0).alias("used"), F.lit(0).alias("w"), F.array().cast("array<int>").alias("all")),
-        lambda s, c: F.when(
-            (s["used"] == 0) | (s["used"] + c <= F.col("room")),
-            F.struct((s["used"] + c).alias("used"), s["w"].alias("w"), F.concat(s["all"], F.array(s["w"])).alias("all")),
-        ).otherwise(F.struct(c.alias("used"), (s["w"] + 1).alias("w"), F.concat(s["all"], F.array(s["w"] + 1)).alias("all"))),
-    )
-    turn = lambda k: F.element_at("turns", k)
-
-    def pieces(window: Column) -> Column:
-        """What a window holds: the turns that it repeats, then its own."""
-
-        def of(first: Column) -> Column:
-            start = F.element_at("before", first)
-            new = lambda k: F.element_at("places", k) == window
-            past = lambda k: (k < first) & ((start - F.element_at("before", k) <= history) | ((k == 1) & system))
-            piece = lambda k: F.struct(
-                F.concat(F.when(new(k), "<|turn ").otherwise("<|past "), turn(k)["role"], F.lit("|>")).alias("head"),
-                turn(k)["text"].alias("text"),
-                (new(k) & (turn(k)["role"] == "assistant")).alias("learned"),
-            )
-            return F.transform(F.filter(F.sequence(F.lit(1), F.size("turns")), lambda k: past(k) | new(k)), piece)
-
-        return let(F.array_position("places", window).cast("int"), of)
-
-    # Only the turns that a window holds go into its row.
-    spans = (
-        convs.withColumn("costs", F.transform("turns", cost))
-        .withColumn("before", _running(F.col("costs")))
-        .withColumn("room", room)
-        .withColumn("places", place["all"])
-        .withColumn("windows", F.transform(F.array_distinct("places"), lambda w: F.struct(w.alias("window"), pieces(w).alias("pieces"))))
-        .select("conv_id", F.explode("windows").alias("w"))
-        .select("conv_id", "w.window", "w.pieces")
-    )
+    piece = lambda new: lambda t: F.struct(
+        F.concat(F.lit("<|turn " if new else "<|past "), t["role"], F.lit("|>")).alias("head"), t["text"].alias("text"),
+        (F.lit(new) & (t["role"] == "assistant")).alias("learned"),
+    )
+
+    def whole(own: Column) -> Column:
+        """The windows of a conversation, as the pieces of slices of its turns."""
+        system = F.element_at(own, 1)["role"] == "system"
+        part = lambda a, z, new: F.transform(F.slice(own, a, z - a), piece(new))
+        head = lambda s: part(F.lit(1), F.when(system & (s["past"] > 1), 2).otherwise(1), False)
+        pieces = lambda s: F.concat(head(s), part(s["past"], s["first"], False), part(s["first"], s["stop"], True))
+        made = let(F.transform(own, cost), lambda costs: spans(costs, system, budget, history))
+        return F.transform(made, lambda s, i: F.struct(i.alias("window"), pieces(s).alias("pieces")))
+
+    # The pieces refer to the turns in place; a window's text is first copied when its row is written.
+    found = turns.select("conv_id", F.explode(let(F.col("turns"), whole)).alias("w")).select("conv_id", "w.window", "w.pieces")
     start = lambda s, p: s["at"] + F.length(p["head"])
     stop = lambda s, p: start(s, p) + F.length(p["text"])
     mask = F.aggregate(
@@ -104,7 +134,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         ),
     )
     formatted = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["text"], F.lit(END))), "")
-    return spans.select("conv_id", "window", formatted.alias("formatted"), mask["mask"].alias("mask"))
+    return found.select("conv_id", "window", formatted.alias("formatted"), mask["mask"].alias("mask"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

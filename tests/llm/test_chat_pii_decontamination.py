@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,37 @@ def test_windows_empty(spark):
     assert spark.createDataFrame([("a\\\\\\<b",)], "t string").select(unescape(F.col("t"))).first()[0] == "a\\<b"
 
 
+def plain_windows(turns, budget, history):
+    """First, last and repeated turns of each window, by a plain loop."""
+    costs = [-(-(len(r) + len(t) + 16) // 4) for r, t in turns]
+    room = max(budget - history - (costs[0] if turns[0][0] == "system" else 0), 1)
+    found, used = [], None
+    for i, c in enumerate(costs):
+        if used is not None and used + c <= room:
+            used += c
+            found[-1][1].append(i)
+        else:
+            back, left = i, history
+            while back and costs[back - 1] <= left:
+                back -= 1
+                left -= costs[back]
+            found.append((([0] if turns[0][0] == "system" and back > 0 and i > 0 else []) + list(range(back, i)), [i]))
+            used = c
+    return found
+
+
+def test_long_conversation(spark):
+    """Five thousand turns in one conversation, more than the steps of a fold, end within seconds."""
+    turns = [("system", "be kind")] + [("user" if i % 2 else "assistant", "w" * (i * 37 % 700)) for i in range(4999)]
+    frame = spark.createDataFrame([(7, i, r, t, 0) for i, (r, t) in enumerate(turns)], CONVERSATION).repartition(4)
+    began = time.perf_counter()
+    got = sorted((r["window"], r["formatted"]) for r in windows(frame).collect())
+    assert time.perf_counter() - began < 60
+    text = lambda kind, i: f"<|{kind} {turns[i][0]}|>{turns[i][1]}<|end|>"
+    want = ["".join([text("past", i) for i in past] + [text("turn", i) for i in own]) for past, own in plain_windows(turns, 1024, 256)]
+    assert [t for _, t in got] == want
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
