@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders written by ``settle`` within each open ``scratch``, the innermost last.
+_open: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
@@ -23,14 +28,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor depend on an executor."""
+def settle(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor depend on an executor.
+
+    The folder goes when the ``scratch`` around it ends; with ``keep`` when the next one around that does. Without a
+    ``scratch`` it stays, since a result may be read from it at any time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if len(_open) > keep:
+        _open[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what ``settle`` wrote within, but for what it was told to keep."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _remove(spark, path)
+
+
 def bounded_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     """Broadcast ``df`` if it has at most ``most_rows`` rows; otherwise leave the join to a shuffle."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
