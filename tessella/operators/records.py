@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.functions.numeric import decibels, realtime_factor
 from tessella.functions.text import collapse, strip_timestamps, word_total
@@ -105,16 +107,22 @@ def report_lines(runs: DataFrame) -> DataFrame:
 def throttled(warnings: DataFrame, seconds: float = 5.0) -> DataFrame:
     """Per stream the warnings (stream_id, t) at least ``seconds`` after the last one shown.
 
-    The next one shown depends on the last, so each stream is folded in order.
+    The next one shown depends on the last, so each stream is read in order, batch by batch with the last one carried over.
     """
-
-    def fold(pdf):
-        last, keep = float("-inf"), []
-        for t in pdf.sort_values("t")["t"]:
-            if t - last >= seconds:
-                keep.append(t)
-                last = t
-        return pdf.iloc[:0].reindex(range(len(keep))).assign(stream_id=pdf["stream_id"].iloc[0], t=keep)[["stream_id", "t"]]
-
     kind = warnings.schema["stream_id"].dataType.simpleString()
-    return warnings.select("stream_id", F.col("t").cast("double")).groupBy("stream_id").applyInPandas(fold, f"stream_id {kind}, t double")
+    id_type = to_arrow_type(warnings.schema["stream_id"].dataType)
+
+    def run(batches):
+        stream, last, began = None, float("-inf"), False
+        for b in batches:
+            keep = []
+            for key, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not began or key != stream:
+                    stream, last, began = key, float("-inf"), True
+                if t is not None and t - last >= seconds:
+                    keep.append((key, t))
+                    last = t
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], id_type), pa.array([t for _, t in keep], pa.float64())], names=["stream_id", "t"])
+
+    rows = warnings.select("stream_id", F.col("t").cast("double").alias("t")).repartition("stream_id").sortWithinPartitions("stream_id", "t")
+    return rows.mapInArrow(run, f"stream_id {kind}, t double")

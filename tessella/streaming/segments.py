@@ -1,6 +1,6 @@
 """Voice segments of frame streams: one transition rule, folded over a batch or kept as streaming state.
 
-Rules: frames of the wrong size don't count. While idle the last ``pre_roll`` frames are kept; a voiced frame opens a
+Rules: frames of the wrong size don't count, and numbers may be missing. While idle the last ``pre_roll`` frames are kept; a voiced frame opens a
 segment that begins with them, itself included. A segment closes when it has ``min_voiced`` voiced frames and
 ``end_silence`` unvoiced ones since the last, or ``longest`` frames; with the silence but too few voiced frames
 it's dropped. Trailing silence belongs to it. After a close nothing is kept. At the end of a stream an open segment with enough
@@ -11,14 +11,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import astuple, dataclass
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SEGMENT = "stream_id {0}, first_frame long, last_frame long, frames long, voiced long"
-STATE = "kept long, frames long, voiced long, silent long, first long, last long"
+STATE = "kept string, frames long, voiced long, silent long, first long, last long, seen long"
 
 
 @dataclass(frozen=True)
@@ -38,14 +41,16 @@ class Rules:
 
 @dataclass
 class State:
-    """Frames kept while idle; frames, voiced ones and silence of the open segment; its first and last frame."""
+    """Numbers of the frames kept while idle; frames, voiced ones and silence of the open segment; its first and last
+    frame; the last frame taken."""
 
-    kept: int = 0
+    kept: tuple[int, ...] = ()
     frames: int = 0
     voiced: int = 0
     silent: int = 0
     first: int = 0
     last: int = 0
+    seen: int = -1
 
 
 def step(state: State, rules: Rules, frame: int, voiced: bool, n_bytes: int) -> tuple[int, int, int, int] | None:
@@ -53,10 +58,10 @@ def step(state: State, rules: Rules, frame: int, voiced: bool, n_bytes: int) ->
     if n_bytes != rules.frame_bytes:
         return None
     if not state.frames:
-        state.kept = min(state.kept + 1, rules.pre_roll)
+        state.kept = (*state.kept, frame)[-rules.pre_roll :]
         if voiced:
-            state.frames, state.voiced, state.silent = state.kept, 1, 0
-            state.first, state.last, state.kept = frame - state.frames + 1, frame, 0
+            state.frames, state.voiced, state.silent = len(state.kept), 1, 0
+            state.first, state.last, state.kept = state.kept[0], frame, ()
         return None
     state.frames += 1
     state.voiced += voiced
@@ -70,7 +75,8 @@ def step(state: State, rules: Rules, frame: int, voiced: bool, n_bytes: int) ->
 
 def finish(state: State, give: bool) -> tuple[int, int, int, int] | None:
     out = (state.first, state.last, state.frames, state.voiced) if give and state.frames else None
-    state.kept = state.frames = state.voiced = state.silent = state.first = state.last = 0
+    state.kept = ()
+    state.frames = state.voiced = state.silent = state.first = state.last = 0
     return out
 
 
@@ -88,41 +94,102 @@ def _rows(stream: object, found: list[tuple[int, int, int, int]]) -> pd.DataFram
 
 
 def segments(frames: DataFrame, rules: Rules) -> DataFrame:
-    """All segments of recorded streams (stream_id, frame_no, voiced, n_bytes); the state machine needs a stream's order."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_no")
-        return _rows(key[0], fold(State(), rules, zip(pdf["frame_no"], pdf["voiced"], pdf["n_bytes"], strict=True), True))
+    """All segments of recorded streams (stream_id, frame_no, voiced, n_bytes); the state machine needs a stream's order.
 
+    A stream is read in order within one partition, batch by batch with the state carried over, so it may be of any length.
+    """
     kind = frames.schema["stream_id"].dataType.simpleString()
-    return frames.select("stream_id", "frame_no", "voiced", "n_bytes").groupBy("stream_id").applyInPandas(run, SEGMENT.format(kind))
+    id_type = to_arrow_type(frames.schema["stream_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in SEGMENT.format(kind).split(", ")]
+        made = lambda rows: pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], id_type if i == 0 else pa.int64()) for i in range(5)], names=names
+        )
+        stream, state, began = None, State(), False
+        for b in batches:
+            found = []
+            for key, rows in groupby(zip(*(c.to_pylist() for c in b.columns), strict=True), key=lambda r: r[0]):
+                if began and key != stream:
+                    found += [(stream, *x) for x in fold(state, rules, (), True)]
+                    state = State()
+                stream, began = key, True
+                found += [(key, *x) for x in fold(state, rules, (r[1:] for r in rows), False)]
+            yield made(found)
+        if began:
+            yield made([(stream, *x) for x in fold(state, rules, (), True)])
+
+    ordered = frames.select("stream_id", "frame_no", "voiced", "n_bytes").repartition("stream_id").sortWithinPartitions("stream_id", "frame_no")
+    return ordered.mapInArrow(run, SEGMENT.format(kind))
 
 
 def segment_stream(frames: DataFrame, rules: Rules) -> DataFrame:
     """The same on a stream (with ``end``, true on a marker row that ends a stream); state outlives the micro-batches.
 
-    Frames of a stream must arrive in order over the batches; within a batch they are sorted.
+    Within a batch frames are sorted; a frame that comes after a later one of an earlier batch is an error, since the
+    segments around it have been given out.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        state = State(*group.get) if group.exists else State()
+        state = State()
+        if group.exists:
+            kept, *rest = group.get
+            state = State(tuple(map(int, kept.split())), *rest)
         pdf = pd.concat(list(batches)).sort_values("frame_no")
-        rows = pdf[~pdf["end"].astype(bool)]
-        found = fold(state, rules, zip(rows["frame_no"], rows["voiced"], rows["n_bytes"], strict=True), bool(pdf["end"].any()))
-        group.update(astuple(state))
+        ended = pdf["end"].astype(bool)
+        rows = pdf[~ended]
+        if len(rows) and rows["frame_no"].iloc[0] <= state.seen:
+            raise ValueError(f"frame {rows['frame_no'].iloc[0]} of stream {key[0]} came after frame {state.seen}")
+        if len(rows):
+            state.seen = int(rows["frame_no"].iloc[-1])
+        found = fold(state, rules, zip(rows["frame_no"], rows["voiced"], rows["n_bytes"], strict=True), bool(ended.any()))
+        kept, *rest = astuple(state)
+        group.update((" ".join(map(str, kept)), *map(int, rest)))
         yield _rows(key[0], found)
 
     kind = frames.schema["stream_id"].dataType.simpleString()
     return frames.groupBy("stream_id").applyInPandasWithState(run, SEGMENT.format(kind), STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def segment_statistics(found: DataFrame, frame_ms: int = 30) -> DataFrame:
+    """One row a segment with its place in its stream and duration in seconds, three decimals. Recorded whether or not it
+    is transcribed."""
+    order = Window.partitionBy("stream_id").orderBy("first_frame")
+    seconds = F.bround(F.col("frames") * frame_ms / 1000, 3)
+    return found.select("stream_id", (F.row_number().over(order) - 1).alias("segment"), "first_frame", "last_frame", "frames", "voiced", seconds.alias("seconds"))
+
+
+def taken_frames(frames: DataFrame, capacity: int = 512, live: bool = True) -> tuple[DataFrame, DataFrame]:
+    """What a bounded queue takes of frames (stream_id, frame_no, queued), ``queued`` those waiting when a frame comes.
+
+    Live frames beyond the capacity are dropped; the second result counts them by stream and says whether the run
+    failed. A replay waits instead and drops none. Frames taken before a failure stay in levels and recording.
+    """
+    fits = F.col("queued") < capacity if live else F.lit(True)
+    counts = frames.groupBy("stream_id").agg(F.count("*").alias("frames"), F.count_if(~fits).alias("dropped"))
+    return frames.filter(fits), counts.withColumn("failed", F.col("dropped") > 0)
+
+
+def rechunk_stream(chunks: DataFrame, size: int) -> DataFrame:
+    """Byte chunks of a stream as frames of ``size`` bytes; the rest of a micro-batch is carried to the next one."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        rest, n = group.get if group.exists else (b"", 0)
+        data = bytes(rest) + b"".join(map(bytes, pd.concat(list(batches)).sort_values("chunk_no")["data"]))
+        whole = len(data) // size
+        group.update((data[whole * size :], n + whole))
+        yield pd.DataFrame({"stream_id": [key[0]] * whole, "frame_no": range(n, n + whole), "frame": [data[i * size : (i + 1) * size] for i in range(whole)]})
+
+    kind = chunks.schema["stream_id"].dataType.simpleString()
+    output = f"stream_id {kind}, frame_no long, frame binary"
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, output, "rest binary, frames long", "append", GroupStateTimeout.NoTimeout)
+
+
 def rechunked(chunks: DataFrame, size: int) -> DataFrame:
     """Byte chunks (stream_id, chunk_no, data) as frames of ``size`` bytes; a frame takes its bytes from all chunks it spans.
 
     Running sums place every chunk on the stream's line of bytes; pieces then meet by frame. A short rest stays out.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy("stream_id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, 0)
     n = F.length("data")
     placed = chunks.withColumn("stop", F.sum(n).over(order)).withColumn("start", F.col("stop") - n).filter(n > 0)
