@@ -98,3 +98,31 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(f"{root}/diagnostics").first()["value"] == "{}"
     attempts = spark.createDataFrame([("incomplete cleanup: suspiciously short (3",), ("incomplete cleanup: x",), (None,)], "error string")
     assert sinks.rejected_candidates(attempts).count() == 1 and F is not None
+
+
+def test_sinks_keep_earlier_runs(spark, tmp_path):
+    root = str(tmp_path / "out")
+    for run in ("r1", "r2", "r2"):
+        sinks.write_sources(spark.createDataFrame([(run, 0, "live mic", "t")], "run_id string, src_idx int, label string, text string"), root)
+        sinks.write_diagnostics(spark.createDataFrame([(run, "{}")], "run_id string, document string"), root)
+    assert {r["run_id"] for r in spark.read.json(f"{root}/sources").collect()} == {"r1", "r2"}
+    assert sorted(r["run_id"] for r in spark.read.text(f"{root}/diagnostics").collect()) == ["r1", "r2"]
+
+
+def test_latest_stays_if_its_job_fails(spark, tmp_path):
+    root = str(tmp_path / "latest")
+    sinks.replace_table(spark.range(3), root)
+    broken = spark.range(3).select(F.raise_error(F.lit("broken")).alias("id"))
+    failures = sinks.committed({"latest": lambda: sinks.replace_table(broken, root), "other": lambda: sinks.replace_table(spark.range(5), root + "2")})
+    assert list(failures) == ["latest"] and spark.read.parquet(root).count() == 3 and spark.read.parquet(root + "2").count() == 5
+    sinks.replace_table(spark.range(4), root)
+    assert spark.read.parquet(root).count() == 4
+
+
+def test_exports_and_inputs(spark, tmp_path):
+    rows = spark.createDataFrame([("r", 0, "live mic", "t")], "run_id string, src_idx int, label string, text string")
+    first, second = sinks.write_export(rows, str(tmp_path / "export")), sinks.write_export(rows, str(tmp_path / "export"))
+    assert (first, second) == (str(tmp_path / "export"), str(tmp_path / "export-2"))
+    outputs = spark.createDataFrame([(1, "/a/b.txt"), (2, "file:///a/c.txt"), (3, "/a/./d.txt"), (4, "/a/e.txt")], "run_id int, path string")
+    inputs = spark.createDataFrame([("/a/c.txt",), ("/a//d.txt",), ("/a/e.txt.bak",)], "path string")
+    assert sorted(r["run_id"] for r in sinks.distinct_from_inputs(outputs, inputs).collect()) == [1, 4]
