@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import collapse
 
-TOLERANCE = 0.002
+TOLERANCE, LENGTH_TOLERANCE = 0.002, 0.01
 
 
 def finite(c: Column) -> Column:
@@ -23,7 +23,11 @@ def adjacency_faults(intervals: DataFrame, tolerance: float = TOLERANCE) -> Data
 
 
 def coverage(results: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """``results`` (rec_id, text, truncated, audio_seconds, segments) with ``fault``: NULL where the windows are sound."""
+    """``results`` (rec_id, text, truncated, audio_seconds, segments) with ``fault``: NULL where the windows are sound.
+
+    Where a column ``duration`` has the known length, the recognised one may differ by ``LENGTH_TOLERANCE`` seconds.
+    """
+    other = F.abs(F.col("audio_seconds") - F.col("duration")) > LENGTH_TOLERANCE if "duration" in results.columns else F.lit(False)
     ends = F.transform("segments", lambda s: s["end"])
     begins = F.transform("segments", lambda s: s["start"])
     numbers = F.forall("segments", lambda s: finite(s["start"]) & finite(s["end"]) & s["text"].isNotNull())
@@ -36,6 +40,7 @@ def coverage(results: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
         F.when(F.col("text").isNull() | F.col("truncated").isNull() | F.col("segments").isNull(), "incomplete reply")
         .when(F.col("truncated"), "truncated")
         .when(~finite(F.col("audio_seconds")) | (F.col("audio_seconds") < 0), "bad length")
+        .when(other, "other length")
         .when(~some, F.when(collapse(F.col("text")) != "", "text without windows"))
         .when(~numbers, "bad window")
         .when(~widths, "empty window")

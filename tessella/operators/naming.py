@@ -11,9 +11,17 @@ WHISPER = ("whisper-cpp", "faster-whisper")
 
 
 def unique_names(rows: DataFrame, stem: str, *order: str) -> DataFrame:
-    """``rows`` with ``name``: the stem, from its second use on with -2, -3, ... (numbered through, not retried)."""
+    """``rows`` with ``name``: the stem, from its second use on with -2, -3, ..., over numbers that make another row's stem.
+
+    A name made from a stem and a number is made from no other stem, so no two names are equal. NULL stems stay NULL.
+    """
+    parts = F.regexp_extract(stem, r"(?s)^(.*)-([1-9][0-9]{0,8})$", 1), F.regexp_extract(stem, r"(?s)^(.*)-([1-9][0-9]{0,8})$", 2)
+    numbered = rows.select(parts[0].alias("_base"), parts[1].try_cast("int").alias("_number")).filter("_number >= 2").groupBy("_base").agg(F.array_sort(F.collect_set("_number")).alias("_taken"))
     n = F.row_number().over(Window.partitionBy(stem).orderBy(*order))
-    return rows.withColumn("name", F.when(n == 1, F.col(stem)).otherwise(F.concat_ws("-", stem, n.cast("string"))))
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_n"), lambda k, b: k + (b <= k).cast("int"))
+    name = F.when(F.col("_n") == 1, F.col(stem)).when(F.col(stem).isNotNull(), F.concat_ws("-", stem, free.cast("string")))
+    named = rows.withColumn("_n", n).join(numbered, F.col(stem) == F.col("_base"), "left").withColumn("name", name)
+    return named.drop("_n", "_base", "_taken")
 
 
 def run_stems(inputs: DataFrame) -> DataFrame:

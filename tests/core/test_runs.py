@@ -153,3 +153,17 @@ def test_naming(spark):
     runs = spark.createDataFrame([(1, "base", "lab/m:free", True), (2, "b", "m", False)], "run_id int, base string, producer string, rejected boolean")
     heard = spark.createDataFrame([(1, 0, "whisper-cpp", "medium"), (1, 1, "ctc", "org/c")], "run_id int, src_idx int, backend string, model string")
     assert {r["run_id"]: r["stem"] for r in naming.produced_stems(runs, heard).collect()} == {1: "base-whisper-medium-c-m-too-short-clean", 2: "b-m-clean"}
+
+
+def test_unique_names_avoid_other_stems(spark):
+    stems = ["a", "a", "a-2", "a", "a-2", "b-3", "b", "b", "b", "a-02", "a-2-2", "x-1", "x", "x"]
+    rows = naming.unique_names(spark.createDataFrame(list(enumerate(stems)), "i int, s string"), "s", "i").orderBy("i").collect()
+    names = [r["name"] for r in rows]
+    assert len(set(names)) == len(names) and names[:4] == ["a", "a-3", "a-2", "a-4"] and names[6:9] == ["b", "b-2", "b-4"]
+    assert rows[0].asDict().keys() == {"i", "s", "name"}
+
+
+def test_coverage_of_the_known_length(spark):
+    kind = "rec_id int, text string, truncated boolean, audio_seconds double, segments array<struct<start:double,end:double,text:string>>, duration double"
+    rows = [(1, "a", False, 2.0, [(0.0, 2.0, "a")], 2.005), (2, "a", False, 2.0, [(0.0, 2.0, "a")], 2.5), (3, "a", False, 2.0, [(0.0, 2.0, "a")], None)]
+    assert {r["rec_id"]: r["fault"] for r in coverage.coverage(spark.createDataFrame(rows, kind)).collect()} == {1: None, 2: "other length", 3: None}
