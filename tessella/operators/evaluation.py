@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import ascii_words, contains_words, disfluency_count, mid_sentence_names, unique_ngrams, word_total
+from tessella.storage import bounded_broadcast
+
+# Words that say nothing about where a reading stands, and the least words of a window.
+STOP_WORDS = ("the", "a", "an", "and", "um", "uh", "i", "it", "is", "was", "that", "to", "of", "for", "you", "we", "like", "so", "but", "yeah", "in", "on")
+LEAST_WINDOW = 4
 
 
 def spans_of(texts: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -24,20 +29,20 @@ def spans_of(texts: DataFrame, anchors: DataFrame) -> DataFrame:
     return joined.filter(F.size(words) > 0).withColumn("_hit", hit).filter("_hit is not null").select(*anchors.columns, F.col("_hit.start").alias("start"), F.col("_hit.stop").alias("stop"))
 
 
-def holders(texts: DataFrame, anchors: DataFrame, width: int = 3) -> DataFrame:
+def holders(texts: DataFrame, anchors: DataFrame, width: int = 3, most_broadcast: int = 200_000) -> DataFrame:
     """All pairs (text_id, anchor_id) whose text holds the anchor's words as a run.
 
-    Texts and anchors meet by the anchor's first ``width`` words (all, if it has fewer), never all by all.
+    Texts and anchors meet by the anchor's first word; up to ``most_broadcast`` anchors come to the texts, so that only
+    pairs leave the scan. The next words (``width`` in all) and then the whole run are compared in place.
     """
     wanted = anchors.select("anchor_id", ascii_words(F.col("anchor")).alias("want")).filter(F.size("want") > 0)
-    wanted = wanted.withColumn("n", F.least(F.size("want"), F.lit(width))).withColumn("head", F.array_join(F.slice("want", 1, F.col("n")), " "))
-    own = texts.select("text_id", ascii_words(F.col("text")).alias("words"))
-    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1)))
-    grams = lambda n: F.transform(starts(n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice("words", i, n), " ").alias("head")))
-    places = own.select("text_id", "words", F.explode(F.concat(*[grams(n) for n in range(1, width + 1)])).alias("g"))
-    met = places.join(wanted, (F.col("g.head") == F.col("head")) & (F.col("g.n") == F.col("n")))
-    whole = F.slice("words", F.col("g.at"), F.size("want")) == F.col("want")
-    return met.filter(whole).select("text_id", "anchor_id").distinct()
+    wanted = wanted.withColumn("first", F.element_at("want", 1)).withColumn("n", F.least(F.size("want"), F.lit(width)))
+    wanted = wanted.withColumn("head", F.array_join(F.slice("want", 1, F.col("n")), " ")).withColumn("run", F.array_join("want", " "))
+    wanted = bounded_broadcast(wanted.select("anchor_id", "first", "n", "head", "run", F.size("want").alias("size")), most_broadcast)
+    places = texts.select("text_id", ascii_words(F.col("text")).alias("words")).select("text_id", "words", F.posexplode("words").alias("at", "first"))
+    piece = lambda n: F.array_join(F.slice("words", F.col("at") + 1, n), " ")
+    met = places.join(wanted, "first").filter((piece(F.col("n")) == F.col("head")) & (piece(F.col("size")) == F.col("run")))
+    return met.select("text_id", "anchor_id").distinct()
 
 
 def overlap(a: str, b: str) -> Column:
@@ -64,11 +69,14 @@ def classified_notes(notes: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def region_recall(classified: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Per case and model: regions hit of those expected, and how many notes had which verdict."""
+    """Per case and model: regions hit of those expected, how many notes had which verdict, and, where ``classified`` has
+    that column, how many have a displaced reading."""
     total = labelled.filter("class = 'expected'").groupBy("case").agg(F.countDistinct("region").alias("regions"))
+    moved = [F.count_if("displaced").alias("displaced")] if "displaced" in classified.columns else []
     counts = classified.groupBy("case", "model").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("regions")))).alias("hit"),
         *[F.count_if(F.col("verdict") == v).alias(v) for v in ("spurious", "forbidden", "unlocatable")],
+        *moved,
     )
     return counts.join(total, "case", "left").withColumn("regions", F.coalesce("regions", F.lit(0)))
 
@@ -76,11 +84,13 @@ def region_recall(classified: DataFrame, labelled: DataFrame) -> DataFrame:
 def best_windows(alternatives: DataFrame, sources: DataFrame) -> DataFrame:
     """For each alternative (case, alt_id, text) the source window with the greatest share of its distinct words.
 
-    Windows are as long as the alternative in words; the first of equal ones counts. Windows meet an alternative
-    only through a shared word, so texts without one are never compared.
+    Words of ``STOP_WORDS`` in the alternative don't count. Windows are as long as what is left of it, at least
+    ``LEAST_WINDOW`` words; the first of equal ones counts. Windows meet an alternative only through a shared word, so texts
+    without one are never compared.
     """
-    alts = alternatives.select("case", "alt_id", F.array_distinct(ascii_words(F.col("text"))).alias("want"), F.size(ascii_words(F.col("text"))).alias("n"))
-    alts = alts.filter("n > 0")
+    told = F.filter(ascii_words(F.col("text")), lambda w: ~w.isin(*STOP_WORDS))
+    alts = alternatives.select("case", "alt_id", told.alias("told")).filter(F.size("told") > 0)
+    alts = alts.select("case", "alt_id", F.array_distinct("told").alias("want"), F.greatest(F.size("told"), F.lit(LEAST_WINDOW)).alias("n"))
     placed = sources.select("case", "src_idx", ascii_words(F.col("text")).alias("words"))
     tokens = placed.select("case", "src_idx", F.size("words").alias("len"), F.posexplode("words").alias("pos", "word"))
     wanted = alts.select("case", "alt_id", "n", F.size("want").alias("distinct"), F.explode("want").alias("word"))
@@ -120,6 +130,12 @@ def summary(scores: DataFrame, value: str, *keys: str) -> DataFrame:
     return scores.groupBy(*keys).agg(F.avg(v).alias("mean"), span.alias("shown"), F.count(v).alias("n"), F.count_if(v.isNull()).alias("failed"))
 
 
+def shown_readings(alternatives: Column) -> Column:
+    """Texts of a note's readings (structs of text and verbatim) for display: the text, else the verbatim; blank ones go."""
+    shown = F.transform(alternatives, lambda a: F.coalesce(F.nullif(F.trim(a["text"]), F.lit("")), F.trim(a["verbatim"]), F.lit("")))
+    return F.filter(shown, lambda t: t != "")
+
+
 def providers(replies: DataFrame, *keys: str) -> DataFrame:
     return replies.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers"))
 

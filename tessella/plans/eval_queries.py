@@ -11,7 +11,8 @@ from tessella.plans.common import run_sources, table
 
 
 def _notes(spark: SparkSession, sf: str) -> DataFrame:
-    """Each turn notes its first words; its readings: a shortened copy, a reordered copy, an invention, a bare copy."""
+    """Made-up notes, as the tables hold none: each turn of six words or more notes its first words, with a shortened copy, a
+    reordered copy, an invention and a bare copy as readings. They are checked against all whole texts of the conversation."""
     w = T.words(F.col("text"))
     part = lambda a, n: F.array_join(F.slice(F.col("w"), a, n), " ")
     alt = lambda t, v: F.struct(t.alias("text"), F.lit(1).alias("source"), v.alias("verbatim"))
@@ -70,6 +71,7 @@ def region_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Made-up readings, the first eight words of each user turn, against the whole other turns of the conversation."""
     c = table(spark, sf, "conversations").withColumn("case", F.col("conv_id"))
     first = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
     alternatives = c.filter("role = 'user'").select("case", F.col("turn").alias("alt_id"), first.alias("text"))
@@ -101,6 +103,7 @@ def recognition_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def anchors_in_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Made-up labels, the first four words of each turn, in the whole texts of the conversation."""
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("case"), F.col("role").alias("model"), "text")
     anchors = c.select("case", F.explode(F.array_distinct(F.slice(F.split("text", " "), 1, 4))).alias("anchor")).distinct()
     return evaluation.anchors_in_all(c, anchors)
@@ -113,6 +116,7 @@ def invented_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelled_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Made-up labels, the third and fourth word of each turn, in its whole text."""
     c = table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("case"), "text")
     anchors = c.select("case", F.array_join(F.slice(F.split("text", " "), 3, 2), " ").alias("anchor"))
     return evaluation.spans_of(c, anchors).select("case", F.md5("anchor").alias("anchor"), "start", "stop")
@@ -158,11 +162,11 @@ select v.c as "case", model, coalesce(len(list_distinct(flatten(list(v.regions)
 from v left join t on v.c = t.c group by v.c, model""",
     "best_window": f"""
 with c as (select conv_id, turn, role, text from conversations),
-a as (select conv_id, turn, w, len(w) as n, list_distinct(w) as d from (
-    select conv_id, turn, {_ASCII.replace("text", "short")} as w from (select *, array_to_string(string_split(text, ' ')[1:8], ' ') as short from c where role = 'user'))),
+a as (select conv_id, turn, w, greatest(len(w), {evaluation.LEAST_WINDOW}) as n, list_distinct(w) as d from (
+    select conv_id, turn, list_filter({_ASCII.replace("text", "short")}, lambda v: v not in {evaluation.STOP_WORDS}) as w from (select *, array_to_string(string_split(text, ' ')[1:8], ' ') as short from c where role = 'user'))),
 s as (select conv_id, turn, {_ASCII} as w from c where role <> 'user'),
 x as (select a.conv_id, a.turn as alt, s.turn::int as src_idx, i - 1 as start, len(s.w) as len, len(list_intersect(d, s.w[i:i + n - 1]))::double / len(d) as share
-    from a join s using (conv_id), unnest(range(1, greatest(len(s.w) - n, 0) + 2)) u(i) where n > 0),
+    from a join s using (conv_id), unnest(range(1, greatest(len(s.w) - n, 0) + 2)) u(i) where len(a.w) > 0),
 b as (select *, row_number() over (partition by conv_id, alt order by share desc, src_idx, start) as r from x where share > 0)
 select conv_id as "case", alt as alt_id, share, src_idx, start::int as start, start::double / greatest(len, 1) as position,
     share >= 0.5 and abs(start::double / greatest(len, 1) - alt / 10.0::double) > 0.25 as displaced from b where r = 1""",
@@ -187,6 +191,15 @@ a as (select distinct conv_id, anchor from conversations, unnest(string_split(te
 k as (select conv_id, anchor, array_to_string({_ASCII.replace("text", "anchor")}, ' ') as want from a),
 e as (select t.conv_id, role, anchor, bool_and(want <> '' and contains(key, ' ' || want || ' ')) as every from t join k using (conv_id) group by 1, 2, 3)
 select conv_id as "case", role as model, count(*) filter (every) as anchors_hit, count(*) as anchors from e group by 1, 2""",
+    "invented_names": rf"""
+with t as (select lang, source, text, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') as k from documents),
+names as (select distinct lang, source, lower(k[i]) as name from t, unnest(range(2, len(k) + 1)) u(i)
+    where regexp_matches(k[i], '^[A-Z][a-z]{{2,}}$') and not regexp_matches(k[i - 1], '[.!?][ \t\n\x0b\f\r]$')),
+rare as (select lang, name from names group by 1, 2 having count(distinct source) <= 1),
+written as (select lang, name, count(distinct source) as writers, min(source) as only_one from (select lang, source, unnest({_ASCII}) as name from t) group by 1, 2),
+kept as (select n.* from names n join rare using (lang, name) left join written w on w.lang = n.lang and w.name = n.name
+    where n.name <> 'the' and (coalesce(w.writers, 0) = 0 or (w.writers = 1 and w.only_one = n.source)))
+select lang as "case", source as model, count(*) as names, min(name) as first_name from kept group by 1, 2""",
     "labelled_spans": """
 with a as (select conv_id || '/' || turn as c, text, array_to_string(string_split(text, ' ')[3:4], ' ') as anchor from conversations)
 select c as "case", md5(anchor) as anchor, (instr(text, anchor) - 1)::int as start, (instr(text, anchor) - 1 + length(anchor))::int as stop from a where trim(anchor) <> ''""",

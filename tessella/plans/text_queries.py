@@ -96,6 +96,11 @@ _TAG = f"""coalesce(list_filter(list_reverse({_PARTS.format(f"lower({_LEAF})")})
     {_PARTS.format(f"lower({_LEAF})")}[-1], {{0}})"""
 
 SQL = {
+    "capitalized_names": r"""
+with t as (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') as k from documents),
+n as (select doc_id, list_sort(list_distinct(list_transform(list_filter(range(2, len(k) + 1), lambda i: regexp_matches(k[i], '^[A-Z][a-z]{2,}$')
+    and not regexp_matches(k[i - 1], '[.!?][ \t\n\x0b\f\r]$')), lambda i: lower(k[i])))) as l from t)
+select doc_id, len(l)::int as names, array_to_string(l, ' ') as listed from n""",
     "text_normalize": rf"""
 select doc_id, md5({_SPACE.format("text")}) as spaced, md5(array_to_string(list_filter(list_transform(
     regexp_split_to_array(text, '\n\s*\n'), lambda p: {_SPACE.format("p")}), lambda p: p <> ''), chr(10) || chr(10))) as paragraphs
