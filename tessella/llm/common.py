@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.storage import bounded_broadcast, settle, shared_dir
+from tessella.storage import bounded_broadcast, scratch, settle, shared_dir
 
-__all__ = ["ascii_lower", "bounded_broadcast", "settle", "shared_dir", "table"]
+__all__ = ["ascii_lower", "bounded_broadcast", "scratch", "settle", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
