@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.running import numbered
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,10 +31,8 @@ sources as (select conv_id as run_id, turn::int as src_idx, 's' || turn as label
 
 def user_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event values of a user in time order as the samples of a recording."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("rec_id"), (F.row_number().over(order) - 1).cast("long").alias("i"), (F.col("value") * 100).alias("x")
-    )
+    placed = numbered(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "i", "user_id", F.to_date("ts"), "ts", "event_id")
+    return placed.select(F.col("user_id").alias("rec_id"), F.col("i").cast("long").alias("i"), (F.col("value") * 100).alias("x"))
 
 
 USER_SAMPLES = """

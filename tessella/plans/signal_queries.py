@@ -49,7 +49,7 @@ def gain_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 def look_ahead_max(spark: SparkSession, sf: str) -> DataFrame:
     peaks = signals.block_peaks(user_samples(spark, sf), BLOCK)
-    return peaks.select("rec_id", "b", signals.look_ahead(F.col("peak")).alias("ahead"))
+    return signals.look_ahead(peaks, "peak").select("rec_id", "b", "ahead")
 
 
 def release_envelope(spark: SparkSession, sf: str) -> DataFrame:

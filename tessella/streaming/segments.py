@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessella.operators.running import running
+
 SEGMENT = "stream_id {0}, first_frame long, last_frame long, frames long, voiced long"
 STATE = "kept string, frames long, voiced long, silent long, first long, last long, seen long"
 
@@ -190,9 +192,9 @@ def rechunked(chunks: DataFrame, size: int) -> DataFrame:
 
     Running sums place every chunk on the stream's line of bytes; pieces then meet by frame. A short rest stays out.
     """
-    order = Window.partitionBy("stream_id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, 0)
     n = F.length("data")
-    placed = chunks.withColumn("stop", F.sum(n).over(order)).withColumn("start", F.col("stop") - n).filter(n > 0)
+    placed = running(chunks.select("stream_id", "chunk_no", "data"), "stop", n.cast("long"), "stream_id", "chunk_no", size=4096)
+    placed = placed.withColumn("start", F.col("stop") - n).filter(n > 0)
     first, last = F.expr(f"start div {size}"), F.expr(f"(stop - 1) div {size}")
     pieces = placed.select("stream_id", "start", "stop", "data", F.explode(F.sequence(first, last)).alias("frame_no"))
     a = F.greatest(F.col("frame_no") * size, F.col("start"))
