@@ -2,20 +2,29 @@
 
 All pages of a host are merged into one tree of element nodes (the path of tags and classes from the root). Under each node
 stand its presentations (the sequences of child elements that pages show there) and its contents (text blocks). With m
-pages that show a node, the entropy to base m of its presentations is its presentation importance; a block
-that k of the m pages repeat has content entropy log_m(k), and one minus that is its content importance. They are
-composed as ``(1 - g**l) * presentation + g**l * content`` with g = 0.9 and l presentations. A block below ``least`` is
-noise; a branch whose blocks are all noise is so removed whole. Hosts with fewer than ``min_pages`` pages at a node show
-no pattern, and a page that would lose every block is taken for a copy and keeps all.
+pages that show a node, the entropy to base m of its presentations is its presentation importance; a block that k of the
+m pages repeat has content entropy log_m(k), and one minus that is its content importance. A branch whose presentation
+never changes and whose contents repeat is a template; one that each page fills in its own way is content.
 
 Entropy alone can't tell a menu or an advert whose words differ on every page from content, nor an article that many
-pages of a host repeat from a template. Presentation evidence therefore comes first: elements that HTML or their class names
-as menu, header, footer, sidebar, notice, advert, form, script, style or comments are noise, and blocks within ``article`` or
-``main`` are content. An ``article`` or ``main`` inside an element that only its class names mark is content too, unless
-these name comments or replies or the element is part of another article. The tree decides about all other blocks.
+pages of a host repeat from a template. So marks on the page are prior odds, which the tree's evidence multiplies:
 
-Scale: pages are parsed once, within the scan, into blocks; only the hashes of undecided blocks are shuffled, counted per
-host, node and feature with map-side combining. Blocks that no other page of the host repeats leave before any join.
+    odds(block) = prior * (odds(presentation) * odds(content)) ** (1 - 1 / m)
+
+Presentation is the greater importance of the block's element and of the one around it (html and body aside), kept
+between 1/4 and 3/4; content is kept between 1/10 and 9/10. The exponent lets evidence grow with the pages that show the
+node: none from a single page. Blocks with odds below those of ``least`` go, and with its blocks a whole branch.
+Priors: 9 within ``article`` or ``main``, 1 without marks, 1/9 where a noise word is part of a class name, 1/27 where it is one.
+Outside articles an id counts as a class name does; inside them it is a heading's anchor. So the tree overrules marks of
+class names and, at most, an article that all of very many pages show alike. What HTML itself names as menu, header,
+footer, sidebar, notice, advert, form or script, what is hidden, and comment sections are noise that the tree cannot
+overrule. An ``article`` inside an element that only class names mark is content unless it is part of another article.
+
+``restore`` (on): a page of which every block would go is taken for a copy and keeps those that no mark speaks against.
+
+Scale: pages are parsed once, within the scan; features are counted per host, node and feature with map-side combining.
+Blocks meet the tree as hashes, without their texts; contents that no other page repeats leave before that join. Back to
+the pages go only the blocks on which tree and marks differ.
 
 Edge cases: a null or empty page has an empty text. Repeated rows get a row each. A url without a host is a host
 of its own. Unclosed and stray tags, unclosed comments and very deep nesting are read in linear time. An empty table
@@ -31,10 +40,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import settle, table
+from tessella.functions.text import let
+from tessella.llm.common import bounded_broadcast, settle, table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
@@ -66,7 +76,11 @@ SCOPE = frozenset("article aside body div footer form header html main nav secti
 LISTS = frozenset(["ul", "ol", "dl"])
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SPACE = re.compile(r"[\W_]+")
-GAMMA, LEAST, MIN_PAGES = 0.9, 0.3, 5
+#: Prior odds: within articles, without marks, with a noise word in a class name, with a class name that is one.
+ARTICLE, PLAIN, PART, WHOLE = 9.0, 1.0, 1 / 9, 1 / 27
+LEAST = 0.3
+#: Pages with such blocks up to which they are broadcast.
+BROADCAST = 200_000
 
 
 def _hash(*parts: object) -> int:
@@ -74,81 +88,91 @@ def _hash(*parts: object) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+class _Element:
+    """An open element: its tag, node, presentation so far, and what it makes of its text."""
+
+    __slots__ = ("tag", "node", "style", "noise", "prior", "replies", "frame")
+
+    def __init__(self, tag: str, node: int, noise: bool, prior: float, replies: bool, frame: bool) -> None:
+        self.tag, self.node, self.noise, self.prior, self.replies, self.frame = tag, node, noise, prior, replies, frame
+        self.style = 0
+
+
 class _Page:
-    """Blocks of a page: (text, node, decided)."""
+    """Blocks of a page: (text, node, node around it or 0, prior)."""
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[str, int, bool]] = []
+        self.blocks: list[tuple[str, int, int, float]] = []
         self.styles: set[tuple[int, int]] = set()
         self.text: list[str] = []
-        # Open elements: tag, node, style so far, last child, whether it begins noise, whether it is content, whether its
-        # noise can be suspended, how much of that it suspends.
-        self.open: list[list] = [["", 0, 0, "", False, False, False, 0]]
+        self.open = [_Element("", 0, False, PLAIN, False, True)]
         self.count: Counter[str] = Counter()
-        self.noise = self.content = self.wrapped = 0
+        self.noise = 0
         self.read(source)
         while len(self.open) > 1:
             self.pop()
         self.flush()
-        self.styles.add((0, self.open[0][2]))
+        self.styles.add((0, self.open[0].style))
 
     def flush(self) -> None:
         if self.text:
             block = " ".join(html.unescape("".join(self.text)).split())
             self.text = []
-            if block and not self.noise and not self.wrapped:
-                self.blocks.append((block, self.open[-1][1], self.content > 0))
+            if block and not self.noise:
+                own = self.open[-1]
+                around = self.open[-2] if len(self.open) > 1 else own
+                self.blocks.append((block, own.node, 0 if around.frame else around.node, own.prior))
 
     def pop(self) -> None:
-        tag, node, style, _, noise, content, wraps, suspended = self.open[-1]
-        if tag not in INLINE:
+        e = self.open[-1]
+        if e.tag not in INLINE:
             self.flush()
         self.open.pop()
-        self.count[tag] -= 1
-        self.noise -= noise and not wraps
-        self.wrapped += suspended - wraps
-        self.content -= content
-        if not self.noise and not self.wrapped and not self.content:
-            self.styles.add((node, style))
+        self.count[e.tag] -= 1
+        if not self.noise:
+            self.styles.add((e.node, e.style))
+        self.noise -= e.noise
 
     def close(self, tag: str, scope: frozenset[str]) -> None:
         """Pop up to the innermost open ``tag`` unless an element of ``scope`` stands before it."""
         if self.count[tag] <= 0:
             return
         for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] == tag:
+            if self.open[at].tag == tag:
                 while len(self.open) > at:
                     self.pop()
                 return
-            if self.open[at][0] in scope:
+            if self.open[at].tag in scope:
                 return
 
     def start(self, tag: str, attrs: str) -> None:
-        words: list[str] = []
-        noise, wraps = tag in NOISE_TAGS, False
-        kinds = ""
+        names: list[str] = []
+        noise, kinds = tag in NOISE_TAGS, ""
+        within = self.count["article"] > 0
         if attrs:
             for name, *values in ATTR.findall(attrs):
                 if (name := name.lower()) not in MARKS:
                     continue
                 value = next((v for v in values if v), "").lower()
-                if name in ("class", "id"):
-                    words += SPACE.split(value)
-                    kinds += "." * (name == "class") + value * (name == "class")
+                if name == "class":
+                    names += value.split()
+                    kinds += "." + value
+                elif name == "id":
+                    names += value.split() if not within else []
                 elif name == "role":
                     noise |= value in NOISE_ROLES
                 elif name == "style":
                     noise |= "display:none" in value.replace(" ", "")
                 elif name == "hidden" or value == "true":
                     noise = True
-        if tag in ("html", "body") or tag in CONTENT and not {"comment", "comments", "reply", "ad"} & set(words):
+        words = {w for n in names for w in SPACE.split(n)}
+        frame = tag in ("html", "body")
+        article = tag in CONTENT and not {"comment", "comments", "reply", "ad"} & words
+        if frame or article:
             noise = False
-        elif not noise:
-            noise = not NOISE_WORDS.isdisjoint(words)
-            wraps = noise and tag not in CONTENT and REPLIES.isdisjoint(words) and self.count["article"] <= 0
-        if tag == "header" and not self.content:
-            noise, wraps = True, False
-        if tag in INLINE and not noise:
+        noise |= tag == "header" and self.count["article"] + self.count["main"] <= 0
+        marked = not frame and not article and not NOISE_WORDS.isdisjoint(words)
+        if tag in INLINE and not noise and not marked:
             return
         if tag not in INLINE:
             self.flush()
@@ -157,21 +181,23 @@ class _Page:
                 self.close(sibling, SCOPE - {"td", "th"} | LISTS)
             if tag in CONTENT:
                 for at, x in enumerate(self.open):
-                    if x[4] and x[0] in ("nav", "header", "form", "noscript"):  # left open
+                    if x.noise and x.tag in ("nav", "header", "form", "noscript"):  # left open
                         while len(self.open) > at:
                             self.pop()
                         break
         parent = self.open[-1]
         signature = tag + kinds
-        if parent[3] != signature:
-            parent[2], parent[3] = _hash(parent[2], signature), signature
-        content = tag in CONTENT and not noise
-        suspended = self.wrapped if content else 0
-        self.open.append([tag, _hash(parent[1], signature), 0, "", noise, content, wraps, suspended])
+        parent.style = _hash(parent.style, signature)
+        prior, replies = parent.prior, parent.replies
+        if marked:
+            prior = min(prior, WHOLE if not NOISE_WORDS.isdisjoint(names) else PART)
+            replies |= within or tag in CONTENT or not REPLIES.isdisjoint(words)
+            noise |= not REPLIES.isdisjoint(names)
+        elif article and not replies:
+            prior = ARTICLE
+        self.open.append(_Element(tag, _hash(parent.node, signature), noise, prior, replies, frame))
         self.count[tag] += 1
-        self.noise += noise and not wraps
-        self.wrapped += wraps - suspended
-        self.content += content
+        self.noise += noise
 
     def read(self, source: str) -> None:
         at = 0
@@ -213,29 +239,25 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else url or ""
 
 
-PARSED = "host string, parts array<struct<text:string,id:long,node:long,block:long,open:boolean>>, features array<struct<node:long,kind:int,feature:long>>"
+PART_KIND = pa.struct([("text", pa.string()), ("node", pa.int64()), ("around", pa.int64()), ("block", pa.int64()), ("prior", pa.float64())])
+FEATURE_KIND = pa.struct([("node", pa.int64()), ("kind", pa.int32()), ("feature", pa.int64())])
+PARSED = "host string, parts array<struct<text:string,node:long,around:long,block:long,prior:double>>, features array<struct<node:long,kind:int,feature:long>>"
 
 
 def _parse_page(source: str | None) -> tuple[list[dict], list[dict]]:
     page = _Page(source or "")
-    parts, features = [], {}
-    undecided = {node for _, node, decided in page.blocks if not decided}
-    for text, node, decided in page.blocks:
-        block = 0 if decided else _hash(text)
-        parts.append({"text": text, "id": 0 if decided else _hash(node, block), "node": node, "block": block, "open": not decided})
-        if not decided:
-            features[node, 2, block] = None
+    parts = [{"text": t, "node": n, "around": a, "block": _hash(t), "prior": p} for t, n, a, p in page.blocks]
+    seen = {p[k] for p in parts for k in ("node", "around")}
     # Kinds: 0 the node is there, 1 a presentation of it, 2 a content.
-    features |= dict.fromkeys((n, 0, 0) for n in undecided) | dict.fromkeys((n, 1, s) for n, s in page.styles if n in undecided)
-    return parts, [{"node": n, "kind": k, "feature": f} for n, k, f in features]
+    found = dict.fromkeys((n, 0, 0) for n in seen) | dict.fromkeys((n, 1, s) for n, s in page.styles if n in seen)
+    found |= dict.fromkeys((p["node"], 2, p["block"]) for p in parts)
+    return parts, [{"node": n, "kind": k, "feature": f} for n, k, f in found]
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url and key of each page, its host, its blocks that aren't marked as noise, and the features of open ones."""
+    """page_id, url and key of each page, its host, its blocks that nothing rules out, and the features of their nodes."""
     keyed = pages.select("page_id", "url", F.xxhash64("page_id", "url", "html").alias("key"), "html")
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, key long, " + PARSED
-    parts_type = pa.list_(pa.struct([("text", pa.string()), ("id", pa.int64()), ("node", pa.int64()), ("block", pa.int64()), ("open", pa.bool_())]))
-    features_type = pa.list_(pa.struct([("node", pa.int64()), ("kind", pa.int32()), ("feature", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -243,49 +265,60 @@ def parse(pages: DataFrame) -> DataFrame:
                 b = whole.slice(at, 256)
                 found = [_parse_page(h) for h in b.column(3).to_pylist()]
                 hosts = pa.array([host_of(u) for u in b.column(1).to_pylist()], pa.string())
-                columns = [*b.columns[:3], hosts, pa.array([p for p, _ in found], parts_type), pa.array([f for _, f in found], features_type)]
+                columns = [*b.columns[:3], hosts, pa.array([p for p, _ in found], pa.list_(PART_KIND)), pa.array([f for _, f in found], pa.list_(FEATURE_KIND))]
                 yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "key", "host", "parts", "features"])
 
     return keyed.mapInArrow(run, schema)
 
 
-def importance(features: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Rows (host, node, feature, importance) of contents that two pages or more of a host repeat."""
-    counts = features.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("n"))
+def tree(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The hosts' trees: nodes (host, node, m, presentation) and contents (host, node, feature, n) of two pages or more."""
+    counts = settle(features.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("n")), "page-features")
     of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0))
     nodes = counts.filter("kind < 2").groupBy("host", "node").agg(
-        of(0, F.col("n")).alias("m"), of(1, F.col("n")).alias("shown"), of(1, F.col("n") * F.log("n")).alias("weighted"), of(1, F.lit(1)).alias("l")
+        of(0, F.col("n")).alias("m"), of(1, F.col("n")).alias("shown"), of(1, F.col("n") * F.log("n")).alias("weighted")
     )
-    base = F.log("m")
-    presentation = F.when(F.col("shown") > 0, (F.log("shown") - F.col("weighted") / F.col("shown")) / base).otherwise(0.0)
-    content = 1 - F.log("n") / base
-    keep = F.pow(F.lit(GAMMA), F.col("l"))
-    return (
-        counts.filter("kind = 2 and n > 1")
-        .join(nodes.filter(F.col("m") >= min_pages), ["host", "node"])
-        .select("host", "node", "feature", ((1 - keep) * F.least(presentation, F.lit(1.0)) + keep * content).alias("importance"))
+    entropy = (F.log("shown") - F.col("weighted") / F.col("shown")) / F.log("m")
+    presentation = F.when((F.col("m") > 1) & (F.col("shown") > 0), F.least(entropy, F.lit(1.0)))
+    return nodes.filter("m > 1").select("host", "node", "m", presentation.alias("presentation")), counts.filter("kind = 2 and n > 1").select("host", "node", "feature", "n")
+
+
+def evidence(m: Column, presentation: Column, n: Column) -> Column:
+    """What the tree multiplies the odds of a block with that n of m pages show; 1 for a single page."""
+    odds = lambda x, edge: F.least(F.greatest(x, F.lit(edge)), F.lit(1 - edge)) / (1 - F.least(F.greatest(x, F.lit(edge)), F.lit(1 - edge)))
+    content = 1 - F.log(n) / F.log(m)
+    return F.when(m > 1, F.pow(odds(presentation, 0.25) * odds(content, 0.1), 1 - 1 / m)).otherwise(1.0)
+
+
+def importance(parsed: DataFrame) -> DataFrame:
+    """Rows (key, node, around, block, prior, evidence) of the blocks whose node several pages of the host show."""
+    nodes, contents = tree(parsed.select("host", F.explode("features").alias("f")).select("host", "f.*"))
+    blocks = parsed.select("key", "host", F.explode("parts").alias("p")).select("key", "host", "p.node", "p.around", "p.block", "p.prior")
+    around = nodes.select("host", F.col("node").alias("around"), F.col("presentation").alias("outer"))
+    scored = (
+        blocks.join(nodes, ["host", "node"])
+        .join(around.filter("around <> 0"), ["host", "around"], "left")
+        .join(contents.withColumnRenamed("feature", "block"), ["host", "node", "block"], "left")
+        .withColumn("presentation", F.greatest("presentation", "outer"))
     )
+    found = evidence(F.col("m"), F.coalesce("presentation", F.lit(0.5)), F.coalesce("n", F.lit(1)))
+    return scored.select("key", "node", "around", "block", "prior", found.alias("evidence"))
 
 
-def main_text(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
+def main_text(pages: DataFrame, least: float = LEAST, restore: bool = True) -> DataFrame:
     """page_id, url and text of each page (columns page_id, url, html)."""
     parsed = settle(parse(pages), "page-blocks")
-    is_open = F.exists("parts", lambda p: p["open"])
-    undecided = parsed.filter(is_open)
-    features = undecided.select("host", F.explode("features").alias("f")).select("host", "f.*")
-    noise = settle(importance(features, min_pages).filter(F.col("importance") < least).select("host", "node", "feature"), "page-noise")
-    blocks = undecided.select("key", "host", F.explode("parts").alias("p")).filter("p.open").select(
-        "key", "host", F.col("p.node").alias("node"), F.col("p.block").alias("feature"), F.col("p.id").alias("id")
-    )
-    lost = blocks.join(noise, ["host", "node", "feature"]).groupBy("key").agg(F.collect_set("id").alias("lost"))
+    edge = least / (1 - least)
+    # Only blocks of which the tree thinks otherwise than the marks are brought back to their pages.
+    turned = importance(parsed).filter((F.col("prior") * F.col("evidence") >= edge) != (F.col("prior") >= edge))
+    place = lambda p: F.struct(*[p(c).alias(c) for c in ("node", "around", "block", "prior")])
+    turned = settle(turned.groupBy(F.col("key").alias("turned_key")).agg(F.collect_set(place(F.col)).alias("turned")), "page-turned")
     joined = lambda parts: F.array_join(F.transform(parts, lambda p: p["text"]), "\n")
-    left = F.filter("parts", lambda p: ~p["open"] | ~F.array_contains(F.coalesce("lost", F.array().cast("array<long>")), p["id"]))
-    pruned = undecided.join(lost, "key", "left").withColumn("left", left)
-    return (
-        parsed.filter(~is_open)
-        .select("page_id", "url", joined("parts").alias("text"))
-        .union(pruned.select("page_id", "url", joined(F.when(F.size("left") > 0, F.col("left")).otherwise(F.col("parts"))).alias("text")))
-    )
+    other = lambda p: F.coalesce(F.array_contains("turned", place(lambda c: p[c])), F.lit(False))
+    kept = F.filter("parts", lambda p: (p["prior"] >= edge) != other(p))
+    text = let(kept, lambda k: F.when((F.size(k) > 0) | F.lit(not restore), joined(k)).otherwise(joined(F.filter("parts", lambda p: p["prior"] >= PLAIN))))
+    pages_of = parsed.join(bounded_broadcast(turned, BROADCAST), F.col("key") == F.col("turned_key"), "left")
+    return pages_of.select("page_id", "url", text.alias("text"))
 
 
 def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

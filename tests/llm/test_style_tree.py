@@ -1,5 +1,6 @@
 from tessella.llm.op1_style_tree import host_of, main_text, parse
 from pyspark.sql import functions as F
+from collections import Counter
 
 KIND = "page_id long, url string, html string"
 
@@ -71,3 +72,80 @@ def test_articles_in_wrappers_stay(spark):
     assert got == {i: f"Story\nRest {i}" for i in range(4)}
     noise = ["<div class=comments>", "<section id=replies><div class=widget>", "<div hidden class=has-sidebar>", "<aside class=ad>"]
     assert set(read(spark, [("g", f"{w}{post}") for w in noise]).values()) == {""}
+
+
+def plain_evidence(pages):
+    """By plain loops: (page, node, around, block) to the tree's evidence, for pages (host, html)."""
+    import math
+
+    from tessella.llm.op1_style_tree import _parse_page
+
+    parsed = [(h, *_parse_page(t)) for h, t in pages]
+    shows, styles, holds = {}, {}, {}
+    for h, _, features in parsed:
+        for f in features:
+            {0: shows, 1: styles, 2: holds}[f["kind"]].setdefault((h, f["node"]), []).append(f["feature"])
+    m_of = {k: len(v) for k, v in shows.items()}
+
+    def presentation(key):
+        seen, m = styles.get(key, []), m_of.get(key, 0)
+        if m < 2 or not seen:
+            return None
+        return min(-sum(seen.count(s) / len(seen) * math.log(seen.count(s) / len(seen), m) for s in set(seen)), 1.0)
+
+    odds = lambda x, edge: min(max(x, edge), 1 - edge) / (1 - min(max(x, edge), 1 - edge))
+    found = {}
+    for i, (h, parts, _) in enumerate(parsed):
+        for p in parts:
+            m = m_of[h, p["node"]]
+            if m < 2:
+                found[i, p["node"], p["around"], p["block"]] = 1.0
+                continue
+            both = [x for x in (presentation((h, p["node"])), presentation((h, p["around"])) if p["around"] else None) if x is not None]
+            content = 1 - math.log(holds[h, p["node"]].count(p["block"]), m)
+            found[i, p["node"], p["around"], p["block"]] = (odds(max(both, default=0.5), 0.25) * odds(content, 0.1)) ** (1 - 1 / m)
+    return parsed, found
+
+
+def test_importance_equals_plain_loops(spark):
+    import math
+
+    import duckdb
+
+    from tessella.llm.op1_style_tree import importance
+
+    pages = [("h", f"<div class=top><p>Welcome</p><p>Since {i % 2}</p></div><article>{'<p>More</p>' * (i % 5)}<p>Story {i % 17}</p></article><div class='promo box'>Buy {i}</div>") for i in range(40)]
+    pages += [("g", f"<div><ul>{'<li>x</li>' * (i % 3)}</ul><section>{i}</section></div>") for i in range(7)] + [("one", "<p>alone</p>"), ("g", None)]
+    pages += [(host_of(u), t) for u, t in duckdb.sql("select url, html from '/root/testdata/sf0.001/pages.parquet'").fetchall()]
+    parsed, want = plain_evidence(pages)
+    frame = spark.createDataFrame([(i, f"http://{h}/p{i}", t) for i, (h, t) in enumerate(pages)], KIND)
+    made = parse(frame)
+    place = {r["key"]: r["page_id"] for r in made.select("key", "page_id").collect()}
+    got = {(place[r["key"]], r["node"], r["around"], r["block"]): r["evidence"] for r in importance(made).collect()}
+    assert {k for k, v in want.items() if v != 1.0} <= set(got) <= set(want)
+    assert all(math.isclose(v, want[k], rel_tol=1e-9) for k, v in got.items())
+    # The text is what the odds leave, with marks as priors; the tree alone turns some blocks of either kind.
+    text, edge, turned = read(spark, pages), 0.3 / 0.7, Counter()
+    for i, (_, parts, _) in enumerate(parsed):
+        kept = [p["prior"] * want[i, p["node"], p["around"], p["block"]] >= edge for p in parts]
+        turned.update((p["prior"] >= edge, k) for p, k in zip(parts, kept))
+        left = [p["text"] for p, k in zip(parts, kept) if k] or [p["text"] for p in parts if p["prior"] >= 1]
+        assert text[i] == "\n".join(left)
+    assert turned[True, False] >= 40 and turned[True, True] > 40 and turned[False, False] >= 40
+
+
+def test_tree_overrules_class_names(spark):
+    """A varied part that only a compound class name marks is content; a fixed one with the same words is not."""
+    varied = [f"<div class='story-widget'>{''.join(f'<p>Line {j} of {i}</p>' for j in range(i % 7 + 1))}</div><div class='box-widget'><p>Deal {i % 2}</p></div>" for i in range(60)]
+    got = read(spark, [("h", v) for v in varied])
+    assert got[9] == "Line 0 of 9\nLine 1 of 9\nLine 2 of 9" and got[0] == "Line 0 of 0"
+
+
+def test_headings_are_no_marks(spark):
+    page = '<article><h2 id="search">Search trees</h2><p>body</p><section id="comment-syntax"><p>How to comment</p></section></article><div id="search">Find</div><div id=replies>Me too</div>'
+    assert read(spark, [("a", page)])[0] == "Search trees\nbody\nHow to comment"
+
+
+def test_restoring_is_a_choice(spark):
+    pages = [("g", "<div><p>copied page</p></div><div class=ad>Buy</div>")] * 30
+    assert set(read(spark, pages).values()) == {"copied page"} and set(read(spark, pages, restore=False).values()) == {""}
