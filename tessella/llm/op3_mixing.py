@@ -4,11 +4,13 @@ Targets: all sources, ordered by code point with null last, share the words of t
 stops at ``cap`` times its source and the excess is reshared by weight, which is the water level computed in
 ``source_targets``.
 
-Schedule: slot k gets the golden-ratio point ``frac(k * phi)``, taken in 32-bit integers; the cumulative targets map the
-point to a source; slots are ranked within their source. Every source's documents are shuffled by a hash of their id and
-laid on one line of words, up to ``cap`` times over and cut at the target; the line is cut into blocks of
-``block_words`` words. Block j of a source goes to the source's slot of rank j. The few blocks for which the
-schedule has no slot of their source left come after all slots.
+Schedule: every source's documents are shuffled by a hash of their id and laid on one line of words, up to ``cap`` times over
+and cut at the target; the line is cut into blocks of ``block_words`` words. Slot k gets the golden-ratio point
+``frac(k * phi)``, taken in 48-bit integers; the cumulative numbers of blocks map the point to a source; slots are ranked
+within their source, and block j of a source goes to the source's slot of rank j. What a document is taken for are the
+words of its pieces in blocks that a slot claims. Slots are dealt until every source has as many as it has blocks; a
+point in a source that has all its blocks deals nothing. Since the points are spread evenly over each interval, about as
+many slots as blocks are needed, for a source of one block at most a few times as many.
 
 Scale: nothing is ranked or summed within a source alone. Lines and ranks are numbered in ``LINE_BUCKETS`` buckets or
 chunks of ``SLOT_CHUNK`` slots, whose totals are then summed up, so a source with a third of all rows is no hot task.
@@ -21,15 +23,17 @@ on the line. If all sizes are zero, so are all targets. An empty table gives an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import bounded_broadcast, settle, table
 
 LINE_BUCKETS = 4096
+#: Parts of the bucket of null ids, whose hashes are all the same.
+SALTS = 1024
 SLOT_CHUNK = 16384
-#: The fractional part of the golden ratio in 32 bits: an odd number, so that 2**32 slots visit all points once.
-GOLDEN_HIGH, GOLDEN_LOW = divmod(2654435769, 1 << 16)
+#: The fractional part of the golden ratio in 48 bits: an odd number, so that 2**48 slots visit all points once.
+GOLDEN_HIGH, GOLDEN_LOW = divmod(173961102589771, 1 << 24)
 CELLS = 1024
 
 
@@ -38,8 +42,8 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def source_targets(sized: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
-    """One row per source: rank, source, source_size, target (double), quota (words), blocks of points lo to hi.
+def source_targets(sized: DataFrame, weights: tuple[int, ...], cap: int, block_words: int) -> DataFrame:
+    """One row per source: rank, source, source_size, target (double), quota (words), and its blocks, lo to hi - 1 of all.
 
     The level L solves sum(min(cap * size, L * weight)) = sum(size). With sources ordered by cap * size / weight those
     before some place are capped; L is the greatest level that leaves the source at its place below its cap.
@@ -63,19 +67,25 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], cap: int) -> Data
         .withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
         .withColumn("target", F.least(F.col("limit").cast("double"), F.col("level") * F.col("weight")))
         .withColumn("quota", F.floor("target").cast("long"))
-        .withColumn("hi", F.sum("quota").over(one.rowsBetween(Window.unboundedPreceding, 0)))
-        .select("rank", "source", "source_size", "target", "quota", (F.col("hi") - F.col("quota")).alias("lo"), "hi")
+        .withColumn("blocks", F.ceil(F.col("quota") / block_words))
+        .withColumn("hi", F.sum("blocks").over(one.rowsBetween(Window.unboundedPreceding, 0)))
+        .select("rank", "source", "source_size", "target", "quota", (F.col("hi") - F.col("blocks")).alias("lo"), "hi")
     )
 
 
+def point(k: Column) -> Column:
+    """The point of slot k as an integer below 2**48; no product leaves 64 bits."""
+    k = k.bitwiseAND((1 << 48) - 1)
+    high, low = F.shiftright(k, 24), k.bitwiseAND((1 << 24) - 1)
+    return ((high * GOLDEN_LOW + low * GOLDEN_HIGH) % (1 << 24) * (1 << 24) + low * GOLDEN_LOW) % (1 << 48)
+
+
 def slots(spark: SparkSession, targets: DataFrame, total: int, count: int) -> DataFrame:
-    """Rows (slot, rank, j): slots 0 to ``count`` with their source and their place among its slots."""
-    k = F.col("slot").bitwiseAND((1 << 32) - 1)
-    point = ((k * GOLDEN_HIGH % (1 << 16)) * (1 << 16) + k * GOLDEN_LOW) % (1 << 32)
-    at = (point.cast("double") / F.lit(float(1 << 32)) * total).alias("at")
+    """Rows (slot, rank, j): of the slots 0 to ``count`` those that get a block, with their source and its block j."""
+    at = (point(F.col("slot")).cast("double") / F.lit(float(1 << 48)) * total).alias("at")
     width = total / CELLS
     cell = F.floor(F.col("at") / width).cast("int")
-    parts = targets.filter("quota > 0").select(
+    parts = targets.filter("lo < hi").select(
         "rank", "lo", "hi",
         F.explode(F.sequence(F.floor(F.col("lo") / width).cast("int"), F.floor(F.col("hi") / width).cast("int"))).alias("cell"),
     )
@@ -86,14 +96,25 @@ def slots(spark: SparkSession, targets: DataFrame, total: int, count: int) -> Da
         .withColumn("cell", cell)
         .join(bounded_broadcast(parts, 100_000), "cell")
         .filter("at >= lo and at < hi")
-        .select("slot", "rank", F.expr(f"slot div {SLOT_CHUNK}").alias("chunk"))
+        .select("slot", "rank", (F.col("hi") - F.col("lo")).alias("blocks"), F.expr(f"slot div {SLOT_CHUNK}").alias("chunk"))
     )
     before = Window.partitionBy("rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         dealt.groupBy("rank", "chunk").count().select("rank", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     )
     place = F.row_number().over(Window.partitionBy("rank", "chunk").orderBy("slot")) - 1
-    return dealt.withColumn("place", place).join(offsets, ["rank", "chunk"]).select("slot", "rank", (F.col("offset") + F.col("place")).alias("j"))
+    placed = dealt.withColumn("place", place).join(offsets, ["rank", "chunk"]).withColumn("j", F.col("offset") + F.col("place"))
+    return placed.filter("j < blocks").select("slot", "rank", "j")
+
+
+def schedule(spark: SparkSession, targets: DataFrame, total: int) -> DataFrame:
+    """The slots of all ``total`` blocks: twice as many slots are dealt until each block has one."""
+    count = 2 * total
+    while True:
+        dealt = settle(slots(spark, targets, total, count), "mix-schedule")
+        if dealt.count() == total:
+            return dealt
+        count *= 2
 
 
 def mix(
@@ -102,31 +123,31 @@ def mix(
 ) -> DataFrame:
     """The mix: a row per piece of a document in a block, with slot (null: the document is not taken) and words.
 
-    Columns: doc_id, source, size, source_size, target, row (rank, bucket, place: the document's row), slot, words.
+    Columns: doc_id, source, size, source_size, target, row (rank, bucket, place: the document's row), slot, words, begins
+    (whether the document, or a repeat of it, begins with the piece).
     """
     spark = docs.sparkSession
     sized = settle(
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")),
         "mix-sizes",
-    )
-    targets = settle(source_targets(sized, weights, cap), "mix-targets")
-    total, blocks = targets.agg(
-        F.coalesce(F.sum("quota"), F.lit(0)), F.coalesce(F.sum(F.ceil(F.col("quota") / block_words)), F.lit(0))
-    ).first()
+    ).withColumn("at_row", F.monotonically_increasing_id())
+    targets = settle(source_targets(sized, weights, cap, block_words), "mix-targets")
+    total = targets.agg(F.coalesce(F.max("hi"), F.lit(0))).first()[0]
     shuffle_key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     known = (
         sized.join(bounded_broadcast(targets, 10_000), sized["source"].eqNullSafe(targets["source"]))
         .drop(targets["source"])
         .withColumn("key", shuffle_key)
         .withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
+        .withColumn("salt", F.when(F.col("doc_id").isNull(), F.pmod("at_row", F.lit(SALTS))).otherwise(0))
     )
-    before = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("rank").orderBy("bucket", "salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        known.groupBy("rank", "bucket")
+        known.groupBy("rank", "bucket", "salt")
         .agg(F.sum("size").alias("n"))
-        .select("rank", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+        .select("rank", "bucket", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
-    within = Window.partitionBy("rank", "bucket").orderBy("key", "doc_id", "size")
+    within = Window.partitionBy("rank", "bucket", "salt").orderBy("key", "doc_id", "size")
     size, start = F.col("size"), F.col("start")
     lo = lambda p: start + p * F.col("source_size")
     hi = lambda p: F.least(lo(p) + size, F.col("quota"))
@@ -136,31 +157,32 @@ def mix(
         lambda j: F.struct(
             j.cast("long").alias("j"),
             (F.least(hi(p), (j + 1) * block_words) - F.greatest(lo(p), j * block_words)).cast("long").alias("words"),
+            (j == F.floor(lo(p) / block_words)).alias("begins"),
         ),
     )
     pieces = (
         known.withColumn("place", F.row_number().over(within))
         .withColumn("run", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(offsets, ["rank", "bucket"])
+        .join(offsets, ["rank", "bucket", "salt"])
         .withColumn("start", F.col("offset") + F.col("run") - size)
         .withColumn("piece", F.explode_outer(F.flatten(F.transform(passes, cut))))
         .select(
             "doc_id", "source", "size", "source_size", "target", "rank",
-            F.struct("rank", "bucket", "place").alias("row"), F.col("piece.j").alias("j"), F.col("piece.words").alias("words"),
+            F.struct("rank", "bucket", "salt", "place").alias("row"), F.col("piece.j").alias("j"), F.col("piece.words").alias("words"),
+            F.coalesce("piece.begins", F.lit(False)).alias("begins"),
         )
     )
-    plan = slots(spark, targets, total, blocks) if total else spark.createDataFrame([], "slot long, rank int, j long")
-    late = F.when(F.col("j").isNotNull(), F.lit(blocks) + F.col("j"))
+    plan = schedule(spark, targets, total) if total else spark.createDataFrame([], "slot long, rank int, j long")
     return pieces.join(plan, ["rank", "j"], "left").select(
-        "doc_id", "source", "size", "source_size", "target", "row", F.coalesce("slot", late).alias("slot"), "words"
+        "doc_id", "source", "size", "source_size", "target", "row", "slot", "words", (F.col("begins") & F.col("slot").isNotNull()).alias("begins")
     )
 
 
 def taken_words(mixed: DataFrame) -> DataFrame:
-    """One row per document row: the words that the mix takes of it and the first slot that it is in."""
+    """One row per document row: the words of it in blocks that a slot claims, and the first of these slots."""
     return (
         mixed.groupBy("row", "doc_id", "source", "size", "source_size", "target")
-        .agg(F.coalesce(F.sum("words"), F.lit(0)).alias("taken"), F.min("slot").alias("first_slot"))
+        .agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0)).alias("taken"), F.min("slot").alias("first_slot"))
         .select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot")
     )
 
@@ -191,8 +213,8 @@ with sized as (
     select *, least(cap::double, level * weight) as target, floor(least(cap::double, level * weight))::bigint as quota
     from leveled
 ), bounds as (
-    select *, (sum(quota) over (order by rank rows between unbounded preceding and current row))::bigint as hi,
-        (sum(quota) over ())::bigint as total, (sum(ceil(quota / 256)) over ())::bigint as blocks
+    select *, ceil(quota / 256)::bigint as own, (sum(ceil(quota / 256)) over (order by rank rows between unbounded preceding and current row))::bigint as hi,
+        (sum(ceil(quota / 256)) over ())::bigint as total
     from targets
 ), line as (
     select s.doc_id, s.size, b.*,
@@ -207,15 +229,14 @@ with sized as (
     from (select *, case when p is null then [null::bigint] else range(a // 256, (z - 1) // 256 + 1) end as js from passes) q,
         unnest(js) u(j)
 ), points as (
-    select k, ((((k % 4294967296) * {GOLDEN_HIGH} % 65536) * 65536 + (k % 4294967296) * {GOLDEN_LOW}) % 4294967296)::double
-        / 4294967296.0::double * total::double as point
-    from (select max(total) as total, max(blocks) as blocks from bounds) t, range(t.blocks) r(k)
+    select k, ((((k >> 24) * {GOLDEN_LOW} + (k & 16777215) * {GOLDEN_HIGH}) % 16777216 * 16777216 + (k & 16777215) * {GOLDEN_LOW}) % 281474976710656)::double
+        / 281474976710656.0::double * total::double as point
+    from (select max(total) as total from bounds) t, range(t.total * 16) r(k)
 ), dealt as (
-    select k, rank, row_number() over (partition by rank order by k) - 1 as j
-    from points join bounds on quota > 0 and point >= hi - quota and point < hi
+    select * from (select k, rank, own, row_number() over (partition by rank order by k) - 1 as j
+        from points join bounds on own > 0 and point >= hi - own and point < hi) where j < own
 )
-select q.doc_id, q.size, q.source_size, q.target, coalesce(sum(q.words), 0)::bigint as taken,
-    min(coalesce(d.k, case when q.j is not null then q.blocks + q.j end))::bigint as first_slot
+select q.doc_id, q.size, q.source_size, q.target, coalesce(sum(q.words) filter (d.k is not null), 0)::bigint as taken, min(d.k)::bigint as first_slot
 from pieces q left join dealt d on d.rank = q.rank and d.j = q.j
 group by q.rank, q.start_at, q.doc_id, q.size, q.source_size, q.target
 """
