@@ -52,7 +52,7 @@ def shard_documents(
             F.xxhash64(text.isNull(), text).alias("group_key"),
         ),
         "shard-sizes",
-    )
+    ).withColumn("at_row", F.monotonically_increasing_id())
     items = shards * grain
     total = sized.agg(F.sum("size")).first()[0] or 0
     large = -(-total // items) or 1
@@ -76,7 +76,7 @@ def shard_documents(
         .select(
             "doc_id", "size", "text_crc32", "group_key",
             F.coalesce("own_shard", "bundle_shard").alias("shard"),
-            F.pmod(F.xxhash64("doc_id", "group_key"), F.lit(SLOT_CHUNKS)).alias("chunk"),
+            F.pmod(F.xxhash64("doc_id", "group_key", "at_row"), F.lit(SLOT_CHUNKS)).alias("chunk"),
         )
     )
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
