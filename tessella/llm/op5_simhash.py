@@ -1,14 +1,16 @@
 """SimHash near-duplicates: linked fingerprints differ in at most two bits; links are closed into components.
 
-Method: every distinct fingerprint gets a row of a pivot distance table, its Hamming distances to fixed reference
-fingerprints. By the triangle inequality two fingerprints within distance r differ by at most r in each coordinate, so
-a pair is discarded by its largest coordinate difference and only survivors are verified bit by bit. So that the table is
-never compared row against row, pairs meet in blocks: of four 16-bit quarters two fingerprints within two bits share at
-least two, which gives six block keys of 32 bits.
-
-Dense blocks (more than ``block_limit`` distinct fingerprints, as a large family of near copies makes) would
-cost a square. Their members are linked exactly by another way: each spreads to itself and its 64 one-bit
-neighbours; two fingerprints are within two bits if and only if they share such a point, and at most 65 can share one.
+Method: every distinct fingerprint gets a row of a pivot distance table: its Hamming distances to ``PIVOTS``, the zero
+fingerprint and those with the four bits of one nibble set. By the triangle inequality fingerprints within r bits differ
+by at most r in each coordinate. More follows from the distances to zero and to a nibble together: half of their
+difference is how many bits of that nibble are set, which r changed bits can alter in at most r nibbles. The nibbles form six
+groups; of two linked fingerprints at least four groups agree in all these coordinates. So pairs meet in the cells of the
+table that fifteen choices of four groups make, are discarded by their largest coordinate difference, and the
+survivors are verified bit by bit.
+
+Cells of more than ``most`` fingerprints, as families of near copies and very large corpora make, are split by further
+pivots, those of a single bit: first by the bits of the four groups; what is still crowded by choices of four of six parts
+of the bits left, after which at most 256 fingerprints can share a cell. Any ``most`` gives the same links.
 
 Edge cases: a null or wordless text has fingerprint zero and links like any other. Null ids stay in the result but never
 name a component unless all ids of it are null. Repeated rows are kept and share a component. An empty table gives an
@@ -18,7 +20,7 @@ empty result. Columns other than the id and the text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -30,21 +32,18 @@ from pyspark.sql import functions as F
 from tessella.llm.common import settle, table
 
 RADIUS = 2
-PIVOTS = 12
+#: Reference fingerprints: zero and, for each nibble, its four bits.
+PIVOTS = [0, *[15 << 4 * i for i in range(16)]]
+#: The nibbles of each group; fingerprints within the radius agree in all but ``RADIUS`` groups.
+GROUPS = [range(0, 3), range(3, 6), range(6, 9), range(9, 12), range(12, 14), range(14, 16)]
+LEFT_OUT = list(combinations(range(len(GROUPS)), RADIUS))
 #: Shingles whose bits are unpacked at a time.
 STRIDE = 1 << 15
 
 
-def pivots(n: int = PIVOTS) -> list[int]:
-    """Reference fingerprints from a splitmix64 sequence, as signed 64-bit numbers."""
-    out, mask = [], (1 << 64) - 1
-    for i in range(1, n + 1):
-        z = i * 0x9E3779B97F4A7C15 & mask
-        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & mask
-        z = (z ^ z >> 27) * 0x94D049BB133111EB & mask
-        z ^= z >> 31
-        out.append(z - (1 << 64) if z >> 63 else z)
-    return out
+def signed(number: int) -> int:
+    """A 64-bit number as Spark's long."""
+    return number - (1 << 64) if number >> 63 else number
 
 
 def shingles(text: str | None, width: int = 3) -> np.ndarray:
@@ -84,46 +83,74 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _block_keys(fp: Column) -> Column:
-    quarter = [F.shiftrightunsigned(fp, 16 * q).bitwiseAND(0xFFFF) for q in range(4)]
-    return F.array(
-        *[
-            F.shiftleft(F.lit(n).cast("long"), 32).bitwiseOR(F.shiftleft(quarter[a], 16)).bitwiseOR(quarter[b])
-            for n, (a, b) in enumerate(combinations(range(4), 2))
-        ]
-    )
+def distance_table(fps: DataFrame, *others: str) -> DataFrame:
+    """Rows (fp, other columns, d0 to d16): the distances to the pivots."""
+    distance = lambda p: F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(p)))).cast("byte")
+    return fps.select("fp", *others, *[distance(p).alias(f"d{i}") for i, p in enumerate(PIVOTS)])
 
 
-def links(fps: DataFrame, block_limit: int = 64) -> DataFrame:
-    """Links (a, b) that connect exactly the distinct fingerprints ``fp`` within two bits of each other."""
-    named = [f"d{i}" for i in range(PIVOTS)]
-    rows = fps.select(
-        "fp",
-        *[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte").alias(d) for p, d in zip(pivots(), named, strict=True)],
-        F.explode(_block_keys(F.col("fp"))).alias("key"),
-    )
-    sizes = rows.groupBy("key").count().filter("count > 1")
-    met = settle(rows.join(sizes, "key"), "simhash-blocks")
-    sparse = met.filter(F.col("count") <= block_limit).drop("count")
-    a, b = sparse.alias("a"), sparse.alias("b")
-    near = reduce(lambda x, y: x & y, [F.abs(F.col(f"a.{d}") - F.col(f"b.{d}")) <= RADIUS for d in named])
+def _coordinates(left_out: tuple[int, ...]) -> Column:
+    """Set bits of each nibble in the groups that stay, from the distances, three bits each."""
+    key = F.lit(0).cast("long")
+    for nibble in [n for g, own in enumerate(GROUPS) if g not in left_out for n in own]:
+        key = F.shiftleft(key, 3).bitwiseOR(F.shiftright(F.col("d0") + 4 - F.col(f"d{nibble + 1}"), 1).cast("long"))
+    return key
+
+
+def _mask(bits: list[int]) -> int:
+    return signed(sum(1 << b for b in bits))
+
+
+def _split_masks() -> tuple[list[int], list[tuple[int, int]]]:
+    """Per choice of groups the bits that stay, and (choice, bits that stay) with four of six parts of the others added."""
+    whole, further = [], []
+    for n, out in enumerate(LEFT_OUT):
+        left = [4 * x + b for g in out for x in GROUPS[g] for b in range(4)]
+        stay = [b for b in range(64) if b not in left]
+        parts = [left[i :: len(GROUPS)] for i in range(len(GROUPS))]
+        whole.append(_mask(stay))
+        further += [(n, _mask(stay + [b for i, p in enumerate(parts) if i not in also for b in p])) for also in LEFT_OUT]
+    return whole, further
+
+
+def _met(rows: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rows (fp, n, cell) that share their cell: those in cells of at most ``most`` rows, and the others."""
+    rows = settle(rows, "simhash-cells")
+    sizes = rows.groupBy("n", "cell").count().filter("count > 1")
+    met = settle(rows.join(sizes, ["n", "cell"]), "simhash-met")
+    return met.filter(F.col("count") <= most) if most else met, met.filter(F.col("count") > most) if most else met.limit(0)
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Pairs of a cell that no coordinate difference discards and that are within the radius.
+
+    The rows of the table are made anew here: that takes less than to shuffle seventeen distances with each row of a cell.
+    """
+    rows = distance_table(met, "n", "cell")
+    named = [c for c in rows.columns if c.startswith("d")]
+    a, b = rows.alias("a"), rows.alias("b")
+    same = (F.col("a.n") == F.col("b.n")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp"))
+    near = F.greatest(*[F.abs(F.col(f"a.{d}") - F.col(f"b.{d}")) for d in named]) <= RADIUS
     exact = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near & exact).select(
-        F.col("a.fp").alias("a"), F.col("b.fp").alias("b")
-    )
-    points = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), i)) for i in range(64)])
-    shared = (
-        met.filter(F.col("count") > block_limit)
-        .select("fp")
-        .distinct()
-        .select("fp", F.explode(points).alias("point"))
-        .groupBy("point")
-        .agg(F.min("fp").alias("a"), F.collect_list("fp").alias("near"))  # at most 65 members
-        .filter(F.size("near") > 1)
-        .select("a", F.explode("near").alias("b"))
-        .filter("a <> b")
-    )
-    return pairs.union(shared).distinct()
+    return a.join(b, same & near & exact).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+
+def links(fps: DataFrame, most: int = 64) -> DataFrame:
+    """Links (a, b): all pairs of the distinct fingerprints ``fp`` within two bits of each other."""
+    table = settle(distance_table(fps), "pivot-distances")
+    cells = F.array(*[F.struct(F.lit(n).alias("n"), _coordinates(out).alias("cell")) for n, out in enumerate(LEFT_OUT)])
+    few, many = _met(table.select("fp", F.explode(cells).alias("c")).select("fp", "c.*"), most)
+    found = _pairs(few)
+    if not many.isEmpty():
+        whole, further = _split_masks()
+        bits = F.element_at(F.array(*map(F.lit, whole)), F.col("n") + 1)
+        few, many = _met(many.select("fp", "n", F.col("fp").bitwiseAND(bits).alias("cell")), most)
+        found = found.union(_pairs(few))
+    if not many.isEmpty():
+        parts = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("of"), F.lit(m).alias("mask")) for k, (n, m) in enumerate(further)])
+        split = many.select("fp", "n", F.explode(F.filter(parts, lambda p: p["of"] == F.col("n"))).alias("p"))
+        found = found.union(_pairs(_met(split.select("fp", F.col("p.k").alias("n"), F.col("fp").bitwiseAND(F.col("p.mask")).alias("cell")), None)[0]))
+    return found.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
