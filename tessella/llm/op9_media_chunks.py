@@ -7,12 +7,14 @@ is that over w bytes plus the one w bytes before, shifted by w.
 
 Store: digests of all chunks are counted and owned by Spark joins, without their bytes. A chunk that only one content has
 stays with it; a chunk that several contents share becomes a row of its own, kept by its first owner. A content row so holds its
-ordered chunk list (digest, size, shared or not) and the bytes that only it has. The bytes cross the network once, compressed,
-one copy of a content from each task.
+manifest (``CDC1``, number of chunks, then size, digest and whether it is shared of each chunk in order), compressed the bytes
+that only it has, and as an index the digests of its shared chunks. The bytes cross the network once, compressed, one copy of
+a content from each task.
 
 Reading back: contents without shared chunks are rebuilt within the scan; the others join the shared chunks by digest. Every
-chunk is checked against its digest. The stored form of a document is the stream ``CDC1``, number of chunks, then size, digest and
-bytes of each chunk; the features are computed from the bytes read back.
+chunk is checked against its digest. The stored form of a document, whose size and hash are returned, is what is read
+for it: the manifest, its own compressed bytes, and the rows of its shared chunks in order. The features are computed from
+the payload rebuilt from these.
 
 Edge cases: a null text is an empty one, whose payload is 64 zeros. Null ids and repeated rows get a row each; equal texts
 equal values. Contents are told apart by a 128-bit digest. An empty table gives an empty result. Other columns are not read.
@@ -112,14 +114,25 @@ def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(contents, pa.binary()), pa.array(packed, pa.binary())], names=["content", "packed"])
 
 
-CHUNKS = "array<struct<digest:binary,size:int,shared:boolean>>"
-STORE = f"content binary, digest binary, chunks {CHUNKS}, data binary"
+STORE = "content binary, digest binary, manifest binary, needed array<struct<place:int,digest:binary>>, data binary"
+ENTRY = struct.Struct("<I16s?")
+
+
+def manifest(entries: list[tuple[int, bytes, bool]]) -> bytes:
+    """Size, digest and whether it is shared of each chunk, as stored."""
+    return b"".join([b"CDC1", struct.pack("<I", len(entries)), *(ENTRY.pack(*e) for e in entries)])
+
+
+def read_manifest(data: bytes) -> list[tuple[int, bytes, bool]]:
+    if data[:4] != b"CDC1" or len(data) != 8 + struct.unpack_from("<I", data, 4)[0] * ENTRY.size:
+        raise ValueError("not a manifest of chunks")
+    return list(ENTRY.iter_unpack(data[8:]))
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Content rows with what only they have, and rows of the shared chunks that they own."""
     press, unpress = zstandard.ZstdCompressor(level=9), zstandard.ZstdDecompressor()
-    kind = pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int32()), ("shared", pa.bool_())]))
+    kind = pa.list_(pa.struct([("place", pa.int32()), ("digest", pa.binary())]))
     for b in batches:
         for at in range(0, b.num_rows, ROWS):
             rows = []
@@ -131,12 +144,13 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if not e["shared"]:
                         own.append(piece)
                     elif e["owned"]:
-                        rows.append((None, e["digest"], None, press.compress(piece)))
+                        rows.append((None, e["digest"], None, None, press.compress(piece)))
                 whole = len(own) == len(row["entries"])
-                chunks = [{k: e[k] for k in ("digest", "size", "shared")} for e in row["entries"]]
-                rows.append((row["content"], None, chunks, row["packed"] if whole else press.compress(b"".join(own))))
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), kind, pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=["content", "digest", "chunks", "data"])
+                listed = manifest([(e["size"], e["digest"], e["shared"]) for e in row["entries"]])
+                needed = [{"place": n, "digest": e["digest"]} for n, e in enumerate(row["entries"]) if e["shared"]]
+                rows.append((row["content"], None, listed, needed, row["packed"] if whole else press.compress(b"".join(own))))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.binary(), kind, pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["content", "digest", "manifest", "needed", "data"])
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -187,21 +201,21 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in b.slice(at, ROWS).to_pylist():
                 own, at_byte = unpress.decompress(row["data"]), 0
                 shared = {x["place"]: x["data"] for x in row["shared"] or ()}
-                media, pieces = [b"CDC1", struct.pack("<I", len(row["chunks"]))], []
-                for place, c in enumerate(row["chunks"]):
-                    if c["shared"]:
+                media, pieces = [row["manifest"], row["data"]], []
+                for place, (size, name, elsewhere) in enumerate(read_manifest(row["manifest"])):
+                    if elsewhere:
+                        media.append(shared[place])
                         piece = unpress.decompress(shared[place])
                     else:
-                        piece = own[at_byte : at_byte + c["size"]]
-                        at_byte += c["size"]
-                    if len(piece) != c["size"] or digest(piece) != c["digest"]:
+                        piece = own[at_byte : at_byte + size]
+                        at_byte += size
+                    if len(piece) != size or digest(piece) != name:
                         raise ValueError("a stored chunk does not match its digest")
                     pieces.append(piece)
-                    media += [struct.pack("<I", c["size"]), c["digest"], piece]
-                payload, stream = b"".join(pieces), b"".join(media)
+                payload, stored = b"".join(pieces), b"".join(media)
                 out.append((
                     row["content"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]),
-                    len(stream), hashlib.sha256(stream).hexdigest(), describe(payload, len(pieces)),
+                    len(stored), hashlib.sha256(stored).hexdigest(), describe(payload, len(pieces)),
                 ))
             kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = [x.split()[0] for x in FEATURES.split(", ")]
@@ -210,14 +224,14 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_media(store: DataFrame) -> DataFrame:
     """Features of every content from the chunk store."""
-    rows = store.filter("content is not null").select("content", "chunks", "data")
-    some = F.exists("chunks", lambda c: c["shared"])
+    rows = store.filter("content is not null").select("content", "manifest", "needed", "data")
+    some = F.size("needed") > 0
     none = F.lit(None).cast("array<struct<place:int,data:binary>>").alias("shared")
-    whole = rows.filter(~some).select("content", "chunks", "data", none)
-    needed = rows.filter(some).select("content", F.posexplode("chunks").alias("place", "c")).filter("c.shared").select("content", "place", F.col("c.digest").alias("digest"))
-    kept = store.filter("content is null").select("digest", "data")
-    fetched = needed.join(kept, "digest").groupBy("content").agg(F.collect_list(F.struct("place", "data")).alias("shared"))
-    partly = rows.filter(some).join(fetched, "content").select("content", "chunks", "data", "shared")
+    whole = rows.filter(~some).select("content", "manifest", "data", none)
+    needed = rows.filter(some).select("content", F.explode("needed").alias("c")).select("content", "c.place", "c.digest")
+    kept = store.filter("content is null").select("digest", F.col("data").alias("chunk"))
+    fetched = needed.join(kept, "digest").groupBy("content").agg(F.collect_list(F.struct("place", F.col("chunk").alias("data"))).alias("shared"))
+    partly = rows.filter(some).join(fetched, "content").select("content", "manifest", "data", "shared")
     return whole.mapInArrow(_rebuild, FEATURES).union(partly.mapInArrow(_rebuild, FEATURES))
 
 
