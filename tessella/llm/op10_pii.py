@@ -3,7 +3,9 @@ r"""Personal data: patterns propose spans, checksums confirm them, words nearby
 Base kinds (leftmost non-overlapping matches, failing ones dropped without a retry): ``email``, ``ip`` (parts at most
 255), ``card`` (12 to 19 digits that pass Luhn), ``phone`` (9 to 15 digits). The method adds ``iban`` (mod-97 is 1): every
 start with a registered country code is tried at that country's length, so words and digits behind a number don't hide it;
-with other codes the whole run of capitals and digits is tried.
+with other codes the whole run of capitals and digits is tried. It also adds ``secret`` (a run of 20 to 512 letters, digits
+and ``+/_=-`` that begins like a known kind of key, or has letters, digits, an entropy of at least ``LEAST_ENTROPY`` bits a
+character and a context word nearby) and ``jwt`` (three encoded parts of which two begin as JSON does).
 
 The patterns here are the stated ones in a form that takes linear time on long runs and no stack for each repetition:
 a start inside a run of the first class cannot succeed where the start of the run failed, so a look-behind (or the end
@@ -14,10 +16,11 @@ Offsets are code points: the matches of a pattern and the pieces between them al
 in blocks, so a text with very many matches costs no square.
 
 Score: a percentage by kind, raised if a context word of the kind stands within ``CONTEXT`` code points, lowered
-otherwise. It grades spans and drops none.
+otherwise. It grades spans and drops none but long runs that only their context would make secrets.
 
 Edge cases: a null or empty text has no spans. Null ids and repeated rows are kept as rows. An empty table gives an empty
-result. The id and the text are taken by name, other columns are not read.
+result. The rows stand in one struct while the work goes on beside them, so their columns may have any names; a column
+``pii_spans`` gives way to the new one.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from tessella.llm.common import table
 
 CONTEXT = 40
 BLOCK = 256
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "secret", "jwt")
+LEAST_ENTROPY = 3.0
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
@@ -38,7 +42,11 @@ PATTERNS = {
     "card": r"[0-9][0-9\x20-]*[0-9]",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+    "secret": r"[A-Za-z0-9+/_=-]{20,}",
+    "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
 }
+#: Beginnings of known kinds of keys.
+KNOWN_KEYS = r"^(?:AKIA|ASIA|AIza|gh[opsu]_|glpat-|xox[abps]-|sk-)"
 #: Characters of an account number by country.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
@@ -51,6 +59,7 @@ _OTHER = rf"(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')}){PATTERNS['ib
 IBAN_START = rf"\b(?=((?:{_REGISTERED}|{_OTHER})\b))[A-Z]{{2}}[0-9]{{2}}"
 #: A cheap necessary condition of each kind.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9\x20-]{10,}[0-9]", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}"}
+NEEDS |= {"secret": r"(?i)token|secret|passw|pwd|key|auth|bearer|credential|asia|akia|aiza|gh[opsu]_|glpat-|xox[abps]-|sk-", "jwt": "eyJ"}
 #: Percent without and with a context word, and the words.
 GRADES = {
     "email": (80, 95, r"mail|contact|write|reply"),
@@ -58,6 +67,8 @@ GRADES = {
     "card": (70, 95, r"card|visa|master|credit|debit|paid|payment"),
     "phone": (60, 90, r"phone|tel|call|mobile|fax|cell"),
     "iban": (80, 95, r"iban|bank|account|konto|transfer"),
+    "secret": (60, 90, r"token|secret|passw|pwd|key|auth|bearer|credential"),
+    "jwt": (80, 95, r"token|auth|bearer|jwt"),
 }
 
 
@@ -83,9 +94,24 @@ def mod97(number: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step)
 
 
-def _passes(kind: str, match: Column) -> Column:
-    if kind == "email":
+def entropy(text: Column) -> Column:
+    """Shannon entropy of a text's characters in bits."""
+    n = F.length(text)
+
+    def weighted(s: Column, c: Column) -> Column:
+        k = (n - F.length(F.replace(text, c, F.lit("")))).cast("double")
+        return s + k * F.log2(k)
+
+    return F.log2(n.cast("double")) - F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), lambda s, c: F.when(c == "", s).otherwise(weighted(s, c))) / n
+
+
+def _passes(kind: str, match: Column, near: Column) -> Column:
+    """Whether a match is confirmed; ``near``: whether a context word stands nearby."""
+    if kind in ("email", "jwt"):
         return F.lit(True)
+    if kind == "secret":
+        mixed = match.rlike("[0-9]") & match.rlike("[A-Za-z]") & near
+        return F.when(~F.length(match).between(20, 512), False).when(match.rlike(KNOWN_KEYS), True).when(mixed, entropy(match) >= LEAST_ENTROPY).otherwise(False)
     if kind == "ip":
         return match.rlike(rf"^{PART}(?:\.{PART}){{3}}$")
     if kind == "card":
@@ -129,8 +155,8 @@ def _summed(steps: Column) -> Column:
 
 def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``pii_spans``: structs (start, rank, stop, kind, match, score) by start, then kind as listed."""
-    of = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs
+    of = F.col("text")
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     for kind in KINDS:
         source = of
         if kind == "card":
@@ -138,15 +164,15 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         pattern = IBAN_START if kind == "iban" else PATTERNS[kind]
         heads = F.regexp_extract_all(source, F.lit(pattern), F.lit(0))
         has = of.contains("@") if kind == "email" else of.rlike(NEEDS[kind])
-        found = found.withColumn(f"_{kind}", F.when(has, F.regexp_extract_all(source, F.lit(pattern), F.lit(1)) if kind == "iban" else heads))
-        some = F.size(f"_{kind}") > 0
-        found = found.withColumn(f"_{kind}_at", F.when(some, _starts(F.split(source, pattern, -1), heads if kind == "iban" else F.col(f"_{kind}"))))
+        found = found.withColumn(kind, F.when(has, F.regexp_extract_all(source, F.lit(pattern), F.lit(1)) if kind == "iban" else heads))
+        some = F.size(kind) > 0
+        found = found.withColumn(f"{kind}_at", F.when(some, _starts(F.split(source, pattern, -1), heads if kind == "iban" else F.col(kind))))
 
     def graded(kind: str) -> Column:
         low, high, words = GRADES[kind]
 
         def span(match: Column, i: Column) -> Column:
-            start = F.col(f"_{kind}_at")[i]
+            start = F.col(f"{kind}_at")[i]
             stop = start + F.length(match)
             left = F.greatest(start - CONTEXT, F.lit(0))
             near = F.concat_ws(" ", F.substring(of, left + 1, start - left), F.substring(of, stop + 1, F.lit(CONTEXT)))
@@ -155,12 +181,13 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 match.alias("match"), F.when(F.lower(near).rlike(words), high).otherwise(low).alias("score"),
             )
 
-        spans = F.transform(f"_{kind}", span)
-        return F.when(F.size(f"_{kind}") > 0, F.filter(spans, lambda s: _passes(kind, s["match"])))
+        spans = F.transform(kind, span)
+        return F.when(F.size(kind) > 0, F.filter(spans, lambda s: _passes(kind, s["match"], s["score"] == high)))
 
     kind_of = "array<struct<start:int,rank:int,stop:int,kind:string,match:string,score:int>>"
     every = F.concat(*[F.coalesce(graded(k), F.array().cast(kind_of)) for k in KINDS])
-    return found.withColumn("pii_spans", F.array_sort(every)).select(*[F.col(f"`{c}`") for c in docs.columns], "pii_spans")
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "pii_spans"]
+    return found.select("row", F.array_sort(every).alias("pii_spans")).select(*kept, "pii_spans")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -171,13 +198,14 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda s, x: F.when(x["start"] < s["at"], s).otherwise(
             F.struct(
                 x["stop"].alias("at"),
-                F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, x["start"] - s["at"]), F.lit("["), x["kind"], F.lit("]")).alias("out"),
+                F.concat(s["out"], F.substring("text", s["at"] + 1, x["start"] - s["at"]), F.lit("["), x["kind"], F.lit("]")).alias("out"),
             )
         ),
     )
-    found = find_spans(docs, text_col).withColumn("_cut", spans)
-    rest = F.substring(F.col(text_col), F.col("_cut.at") + 1, F.length(text_col))
-    return found.withColumn(text_col, F.concat(F.col("_cut.out"), rest)).drop("_cut", "pii_spans")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = find_spans(docs.select(row, F.col(f"`{text_col}`").alias("text"))).withColumn("cut", spans)
+    clean = F.concat(F.col("cut.out"), F.substring("text", F.col("cut.at") + 1, F.length("text")))
+    return found.select("row", clean.alias("clean")).select(*[F.col("clean" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _listed(spans: Column) -> Column:
@@ -192,6 +220,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(k) for k in KINDS[:4]],
         F.sha2(_listed(F.filter("pii_spans", lambda s: s["rank"] < 4)), 256).alias("base_sha256"),
         _listed(F.col("pii_spans")).alias("spans"),
+        *[count(k) for k in KINDS[4:]],
+        F.size("pii_spans").cast("long").alias("n_spans"),
         F.array_join(F.transform("pii_spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
 
@@ -227,11 +257,19 @@ spans as (
     {_sql_kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "text", f"length({_DIGITS}) between 9 and 15")}
     union all
     {_sql_kind("iban", PATTERNS["iban"], "text", _IBAN)}
-), graded as (
+    union all
+    {_sql_kind("secret", PATTERNS["secret"], "text", "length(m) between 20 and 512")}
+    union all
+    {_sql_kind("jwt", PATTERNS["jwt"], "text", "true")}
+), scored as (
     select s.*, case {_SCORE} end as score from spans s join texts using (row_id)
+), graded as (
+    select * from scored where kind <> 'secret' or regexp_matches(m, '{KNOWN_KEYS}') or (score = {GRADES["secret"][1]} and regexp_matches(m, '[0-9]')
+        and regexp_matches(m, '[A-Za-z]') and list_aggregate(string_split(m, ''), 'entropy') >= {LEAST_ENTROPY})
 ), joined as (
     select row_id, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip,
-        count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone,
+        count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone, count(*) filter (kind = 'iban') as n_iban,
+        count(*) filter (kind = 'secret') as n_secret, count(*) filter (kind = 'jwt') as n_jwt, count(*) as n_spans,
         string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (rank < 4) as base,
         string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as spans,
         string_agg(score::varchar, ',' order by start, rank) as scores
@@ -239,6 +277,6 @@ spans as (
 )
 select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card,
     coalesce(n_phone, 0) as n_phone, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
-    coalesce(scores, '') as scores
+    coalesce(scores, '') as scores, coalesce(n_iban, 0) as n_iban, coalesce(n_secret, 0) as n_secret, coalesce(n_jwt, 0) as n_jwt, coalesce(n_spans, 0) as n_spans
 from texts left join joined using (row_id)
 """
