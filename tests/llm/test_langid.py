@@ -68,3 +68,54 @@ def test_held_out_accuracy(spark):
     held = [r for r in got if r["held_out"]]
     assert len(got) == len(truth) and sum(truth[r["doc_id"]] == r["lang_pred"] for r in held) >= 0.97 * len(held)
     assert all(re.fullmatch("de|en|es|fr|und", r["lang_pred"]) and r["score"] == pytest.approx(r["score"]) for r in got)
+
+
+def whole_phrases(text, learned):
+    """Greedy longest matches over a whole text by substring search."""
+    count, phrase = 1, ""
+    for c in text:
+        if phrase + c in learned:
+            phrase += c
+        else:
+            count += 1
+            phrase = c if c in learned else ""
+    return count
+
+
+def test_phrases_cross_blocks(monkeypatch):
+    """Whole texts need the phrases that a plain search finds, whatever the blocks; states are carried over their borders."""
+    from tessella.llm import op6_langid as L
+
+    rnd = random.Random(3)
+    texts = {"aa": ["abcdefghijklmnopqrstuvwxyz " * 30], "bb": ["the quick brown fox " * 20 + "jumps"], "cc": ["".join(rnd.choices("abcde ", k=900))], "dd": ["dog"]}
+    texts = {k: [normalised(t) for t in v] for k, v in texts.items()}
+    given = ["abcdefghijklmnopqrstuvwxyz " * 12, "fox jumps the quick", "".join(rnd.choices("abcdefox ", k=400)), "ab", "a", "é" * 40, "the quick brown fox " * 9 + "ä" + "dog" * 30]
+    for block in (1, 3, 16, 512):
+        monkeypatch.setattr(L, "BLOCK", block)
+        model = Model(texts)
+        coded = [L._coded(t, L._symbols(model.letters)) for t in given]
+        got = L._parse(model, coded, True)
+        for i, lang in enumerate(model.langs):
+            learned = "".join(t + " " for t in texts[lang])
+            assert got[i].tolist() == [whole_phrases(normalised(t), learned) for t in given]
+
+
+def test_many_letters_and_languages():
+    """Three thousand distinct letters and ten languages: the table grows with the letters learned, and is refused above its bound."""
+    rnd = random.Random(4)
+    letters = [c for c in map(chr, range(0x4E00, 0x5A00))][:3000]
+    texts = {f"l{i}": ["".join(rnd.choices(letters[300 * i : 300 * i + 300], k=4000))] for i in range(10)}
+    model = Model(texts)
+    assert len(model.table) < 10 * 5 * 4000 + 10 * 2 * 3002
+    got = predict(model, [texts[f"l{i}"][0][500:900] for i in range(10)], whole=True)
+    assert got["lang_pred"].tolist() == [f"l{i}" for i in range(10)]
+    with pytest.raises(ValueError, match="fewer letters"):
+        Model(texts, most_entries=1000)
+
+
+def test_ties_and_clashing_columns(spark):
+    model = Model({"bb": ["the same words"], "aa": ["the same words"]})
+    docs = spark.createDataFrame([(1, "same words", "x", "y", 3, 4)], "doc_id long, text string, lang_pred string, score string, found int, row int")
+    got = identify(docs, model)
+    assert got.columns == ["doc_id", "text", "found", "row", "lang_pred", "score"]
+    assert tuple(got.first()) == (1, "same words", 3, 4, "aa", 0.0)

@@ -4,7 +4,9 @@ import zlib
 from collections import defaultdict
 
 from tessella.llm.op2_sharding import schedule, shard_documents
-from tessella.llm.op3_mixing import mix, taken_words
+from pyspark.sql import functions as F
+
+from tessella.llm.op3_mixing import GOLDEN_HIGH, GOLDEN_LOW, mix, point, schedule as deal, source_targets, taken_words, word_count
 
 KIND = "doc_id long, source string, text string, size string"
 
@@ -93,3 +95,68 @@ def test_mixing(spark):
     assert taken_words(mix(frame, block_words=16)).exceptAll(taken_words(mixed)).count() == 0
     assert taken_words(mix(frame.limit(0))).collect() == []
     assert [r["taken"] for r in taken_words(mix(spark.createDataFrame([(1, None, None, "x")], KIND))).collect()] == [0]
+
+
+def test_groups_and_bundles_by_plain_scheduling(spark):
+    """Groups and bundles rebuilt by plain code and dealt by a plain loop; the fullest shard is above the mean by no more than its last item."""
+    rows, frame = documents(spark)
+    rows.append((9000, "s0", "long " * 30_000, "x"))
+    frame = spark.createDataFrame(rows, KIND).repartition(3)
+    shards, grain = 4, 16
+    keyed = frame.select("doc_id", "text", F.xxhash64(F.col("text").isNull(), F.col("text")).alias("k")).collect()
+    groups = defaultdict(int)
+    for r in keyed:
+        groups[r["k"]] += len((r["text"] or "").encode()) + 16
+    large = -(-sum(groups.values()) // (shards * grain))
+    item = {k: (True, k) if b >= large else (False, k % (shards * grain)) for k, b in groups.items()}
+    sizes = defaultdict(int)
+    for k, b in groups.items():
+        sizes[item[k]] += b
+    loads, last, where = [0] * shards, [0] * shards, {}
+    for key, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        shard = min(range(shards), key=lambda j: (loads[j], j))
+        where[key], last[shard] = shard, size
+        loads[shard] += size
+    got = {(r["doc_id"], r["text_crc32"]): r["shard"] for r in shard_documents(frame, shards=shards, grain=grain).collect()}
+    assert all(got[r["doc_id"], zlib.crc32((r["text"] or "").encode())] == where[item[r["k"]]] for r in keyed)
+    fullest = max(range(shards), key=loads.__getitem__)
+    assert loads[fullest] - sum(loads) / shards <= last[fullest]
+
+
+def test_points():
+    """The arithmetic in parts equals plain whole numbers."""
+    golden = (GOLDEN_HIGH << 24) + GOLDEN_LOW
+    assert abs(golden / 2**48 - (math.sqrt(5) - 1) / 2) < 2**-46 and golden % 2
+
+
+def test_slots_claim_every_block(spark):
+    rnd = random.Random(8)
+    for k in [0, 1, 2, 2**24 - 1, 2**24, 2**40 + 12345, 2**48 + 7]:
+        got = spark.range(1).select(point(F.lit(k).cast("long"))).first()[0]
+        assert got == k % 2**48 * ((GOLDEN_HIGH << 24) + GOLDEN_LOW) % 2**48
+    # A tiny source beside large ones gets its block, and slots before its first are as many as points miss it.
+    rows = [(i, f"s{i % 3}", "w " * rnd.randrange(200, 900), "x") for i in range(120)] + [(500, "t", "few words", "x"), (501, None, "one", "x")]
+    frame = spark.createDataFrame(rows, KIND)
+    sized = frame.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    targets = source_targets(sized, (5, 2, 1), 3, 64).cache()
+    total = targets.agg(F.max("hi")).first()[0]
+    slots = sorted((r["slot"], r["rank"], r["j"]) for r in deal(spark, targets, total).collect())
+    blocks = {r["rank"]: (r["lo"], r["hi"]) for r in targets.collect()}
+    seen, want, k = defaultdict(int), [], 0
+    while len(want) < total:
+        at = k * ((GOLDEN_HIGH << 24) + GOLDEN_LOW) % 2**48 / 2**48 * total
+        rank = next(r for r, (lo, hi) in blocks.items() if lo <= at < hi)
+        if seen[rank] < blocks[rank][1] - blocks[rank][0]:
+            want.append((k, rank, seen[rank]))
+        seen[rank] += 1
+        k += 1
+    assert slots == want
+    taken = taken_words(mix(frame, block_words=64)).collect()
+    assert {r["doc_id"]: r["taken"] for r in taken if r["source"] in ("t", None)}[500] > 0
+    assert all(r["taken"] == 0 or r["first_slot"] is not None for r in taken)
+
+
+def test_many_null_ids(spark):
+    rows = [(None, "s0", f"w{i} " * (i % 7), "x") for i in range(300)]
+    got = taken_words(mix(spark.createDataFrame(rows, KIND).repartition(5), block_words=8)).collect()
+    assert len(got) == 300 and sum(r["taken"] for r in got) == sum(r["size"] for r in got)
