@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import slug, trim_space
+from tessella.storage import bounded_broadcast
 
 HOSTED = ("net",)
 
@@ -60,6 +61,17 @@ def violations(options: DataFrame, rules: dict[str, str]) -> DataFrame:
     return options.select("run_id", F.explode(F.filter(broken, lambda b: b.isNotNull())).alias("rule"))
 
 
+def restricted(sources: DataFrame, limits: DataFrame, language: str | None = None) -> DataFrame:
+    """``sources`` (backend, model, device) with ``error`` where their backend takes only what ``limits`` (backend,
+    only_model, only_device, only_language) names; NULL there allows all, a blank or automatic choice is the backend's own."""
+    rows = sources.join(bounded_broadcast(limits, 1000), "backend", "left")
+    other = lambda c, only: F.col(only).isNotNull() & ~F.lower(F.coalesce(c, F.lit(""))).isin("", "auto") & (F.lower(c) != F.lower(only))
+    error = F.when(other(F.col("model"), "only_model"), F.concat("backend", F.lit(" takes only model "), "only_model")).when(
+        other(F.col("device"), "only_device"), F.concat("backend", F.lit(" runs only on "), "only_device")
+    ).when(other(F.lit(language).cast("string"), "only_language"), F.concat("backend", F.lit(" understands only "), "only_language"))
+    return rows.withColumn("error", error).drop("only_model", "only_device", "only_language")
+
+
 def batch_items(entries: DataFrame) -> DataFrame:
     """Entries (batch_id, item, path) with their own slug and directories."""
     name = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")

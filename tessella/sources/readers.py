@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import inline_text, subtitle_text, trim_space
+from tessella.operators.running import numbered
 
 # File name suffixes.
 AUDIO = (".m4a", ".mp3", ".wav", ".ogg", ".opus", ".flac", ".aac", ".webm", ".mp4")
@@ -65,7 +66,9 @@ def listing(spark: SparkSession, directory: str) -> DataFrame:
 
 def batch_inputs(entries: DataFrame) -> DataFrame:
     """Of a mixed list (idx, path) each resolved path once, at its first place."""
-    return entries.groupBy("path").agg(F.min("idx").alias("idx")).withColumn("item", F.row_number().over(Window.orderBy("idx")))
+    first = entries.groupBy("path").agg(F.min("idx").alias("idx")).withColumn("_all", F.lit(0))
+    placed = numbered(first, "item", "_all", F.expr("idx div 65536"), "idx", "path").drop("_all")
+    return placed.withColumn("item", F.col("item") + 1)
 
 
 def input_kind(inputs: DataFrame) -> DataFrame:

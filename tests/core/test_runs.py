@@ -167,3 +167,29 @@ def test_coverage_of_the_known_length(spark):
     kind = "rec_id int, text string, truncated boolean, audio_seconds double, segments array<struct<start:double,end:double,text:string>>, duration double"
     rows = [(1, "a", False, 2.0, [(0.0, 2.0, "a")], 2.005), (2, "a", False, 2.0, [(0.0, 2.0, "a")], 2.5), (3, "a", False, 2.0, [(0.0, 2.0, "a")], None)]
     assert {r["rec_id"]: r["fault"] for r in coverage.coverage(spark.createDataFrame(rows, kind)).collect()} == {1: None, 2: "other length", 3: None}
+
+
+def test_restricted_backends(spark):
+    from tessella.operators.scheduling import restricted
+
+    specs = spark.createDataFrame([(1, "a", "", "auto"), (2, "a", "big", "auto"), (3, "a", "one", "cuda:0"), (4, "b", "big", "gpu"), (5, "a", "ONE", "CPU")], "run_id int, backend string, model string, device string")
+    limits = spark.createDataFrame([("a", "one", "cpu", "en")], "backend string, only_model string, only_device string, only_language string")
+    of = lambda language: {r["run_id"]: r["error"] for r in restricted(specs, limits, language).collect()}
+    assert of("en") == {1: None, 2: "a takes only model one", 3: "a runs only on cpu", 4: None, 5: None}
+    assert of("fr")[1] == "a understands only en" and of("auto")[1] is None and of(None)[4] is None
+
+
+def test_batch_inputs_over_many_entries(spark):
+    from tessella.sources.readers import batch_inputs
+
+    rows = [(i * 40_000, f"/p{i % 7}") for i in range(20)]
+    got = batch_inputs(spark.createDataFrame(rows, "idx long, path string")).orderBy("item").collect()
+    assert [(r["item"], r["path"]) for r in got] == [(i + 1, f"/p{i}") for i in range(7)]
+
+
+def test_readings_for_display(spark):
+    from tessella.operators.evaluation import shown_readings
+
+    kind = "n int, a array<struct<text:string,verbatim:string>>"
+    rows = spark.createDataFrame([(1, [("one", "x"), ("", "two"), (None, " three "), (" ", ""), (None, None)])], kind)
+    assert rows.select(shown_readings(F.col("a")).alias("t")).first()["t"] == ["one", "two", "three"]
