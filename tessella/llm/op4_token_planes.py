@@ -7,8 +7,8 @@ zstandard frame. Part, position and document columns form the chunk index; colum
 payloads. Parts follow ascending ids, so the position of a part is the sum of the parts before it.
 
 Tokens: a byte-level BPE encodes each pre-token by itself, so texts of common characters are split by the tokenizer's
-rule and each distinct piece is encoded once by the tokenizers library; all other texts (also those that hold a
-special token's string) are encoded whole. Both ways give the same ids.
+rule and each distinct piece is encoded once by the tokenizers library, new ones many to a call, a line each; all other
+texts (also those that hold a special token's string) are encoded whole. Both ways give the same ids.
 
 Scale: one range shuffle orders the documents; encoding, planes and reading run within tasks that hold one block. Of the
 documents that cross blocks only the parts are shuffled to be joined.
@@ -37,12 +37,12 @@ from tessella.llm.common import bounded_broadcast, settle, table
 
 BLOCK = 1 << 16
 END = 0
-#: Distinct pieces kept encoded in a worker.
-PIECES = 300_000
+#: Distinct pieces kept encoded in a worker, and how many are encoded in one text.
+PIECES, LINES = 300_000, 256
 _PUNCTUATION = r"!-/:-@\[-`{-~\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7‐-‧‰-⁞₠-₿"
 #: Texts of these characters alone split alike under all versions of the Unicode tables.
 COMMON = re.compile(rf"[\t\n\r A-Za-z0-9\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ{_PUNCTUATION}]*")
-SPLIT = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+| ?[0-9]+| ?[{_PUNCTUATION}]+|\s+(?!\S)|\s+")
+SPLIT = re.compile(rf" ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|'(?:[sdmt]|ll|ve|re)| ?[0-9]+| ?[{_PUNCTUATION}]+|\s+(?!\S)|\s+")
 CHUNK = "part int, chunk int, first long, n_ids int, doc_ids array<long>, doc_starts array<int>, open boolean, payload binary"
 
 
@@ -56,18 +56,34 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        alone = self._encode(["\n"])[0]
+        #: The id of a line break, if it is one id.
+        self.line_break = int(alone[0]) if len(alone) == 1 else None
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode new pieces: those without white space but for a leading space as lines, since a line break is a piece by itself."""
+        lines = [p for p in pieces if self.line_break is not None and not p[-1].isspace()]
+        groups = [lines[i : i + LINES] for i in range(0, len(lines), LINES)]
+        for own, ids in zip(groups, self._encode(["\n".join(g) for g in groups]), strict=True):
+            cuts = np.flatnonzero(ids == self.line_break)
+            if len(cuts) == len(own) - 1:
+                data = ids.tobytes()
+                ends = [*(4 * cuts).tolist(), len(data)]
+                self.pieces.update((p, data[a:z]) for p, a, z in zip(own, [0, *(4 * cuts + 4).tolist()], ends, strict=True))
+        left = [p for p in pieces if p not in self.pieces]
+        self.pieces.update(zip(left, (i.tobytes() for i in self._encode(left)), strict=True))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.pieces) > PIECES:
             self.pieces.clear()
         split = [None if COMMON.fullmatch(t) is None or any(s in t for s in self.special) else SPLIT.findall(t) for t in texts]
-        new = list(set().union(*[s for s in split if s]).difference(self.pieces))
-        self.pieces.update(zip(new, self._encode(new), strict=True))
-        for text, own in zip(texts, split, strict=True):
-            yield self._encode([text])[0] if own is None else b"".join(map(self.pieces.__getitem__, own))
+        self._learn(set().union(*[s for s in split if s]).difference(self.pieces))
+        others = iter(self._encode([t for t, own in zip(texts, split, strict=True) if own is None]))
+        for own in split:
+            yield next(others).tobytes() if own is None else b"".join(map(self.pieces.__getitem__, own))
 
 
 @lru_cache(4)
