@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import settle, table
@@ -110,10 +110,10 @@ def clustered(vectors: DataFrame, **parameters) -> DataFrame:
     found, centroids = lloyd(vectors, **parameters)
     found = settle(found, "clusters")
     by_cluster = found.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    whole = found.agg(F.sum("distance").alias("inertia"))
+    by_cluster = by_cluster.withColumn("inertia", F.sum("cluster_inertia").over(Window.partitionBy()))
     centres = spark.createDataFrame([(c, row.tolist()) for c, row in enumerate(centroids)], "cluster int, centroid array<long>")
     # One row a cluster.
-    of = F.broadcast(centres.join(by_cluster, "cluster").crossJoin(whole))
+    of = F.broadcast(centres.join(by_cluster, "cluster"))
     return found.join(of, "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid")
 
 
