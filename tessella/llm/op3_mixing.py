@@ -12,13 +12,14 @@ words of its pieces in blocks that a slot claims. Slots are dealt until every so
 point in a source that has all its blocks deals nothing. Since the points are spread evenly over each interval, about as
 many slots as blocks are needed, for a source of one block at most a few times as many.
 
-Scale: nothing is ranked or summed within a source alone. Lines and ranks are numbered in ``LINE_BUCKETS`` buckets or
-chunks of ``SLOT_CHUNK`` slots, whose totals are then summed up, so a source with a third of all rows is no hot task.
-The table of sources is broadcast only if it is counted to be small.
+Scale: nothing is ranked or summed within a source alone. Lines and ranks are numbered in buckets of the ids' hashes or
+chunks of ``SLOT_CHUNK`` slots, whose totals are then summed up, so a source with a third of all rows is no hot task. Rows
+of one source, id and size are interchangeable: they are counted before the line is laid and numbered on it, so one id
+(or null) in very many rows is a row for each of its sizes. The table of sources is broadcast only if it is counted to be small.
 
 Edge cases: a null or wordless text has size 0 and is never taken; null sources form one source. Null ids, repeated rows
 and clashing column names are fine: the id, source and text are taken by name and each row is kept apart by its place
-on the line. If all sizes are zero, so are all targets. An empty table gives an empty result.
+on the line. Nothing depends on files or partitions, so reruns agree. If all sizes are zero, so are all targets. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import bounded_broadcast, settle, table
 
-LINE_BUCKETS = 4096
-#: Parts of the bucket of null ids, whose hashes are all the same.
-SALTS = 1024
+#: Hexadecimal digits of an id's hash that name its bucket.
+BUCKET_DIGITS = 3
+#: Interchangeable rows that one task writes out.
+COPIES = 1 << 16
 SLOT_CHUNK = 16384
 #: The fractional part of the golden ratio in 48 bits: an odd number, so that 2**48 slots visit all points once.
 GOLDEN_HIGH, GOLDEN_LOW = divmod(173961102589771, 1 << 24)
@@ -123,31 +125,44 @@ def mix(
 ) -> DataFrame:
     """The mix: a row per piece of a document in a block, with slot (null: the document is not taken) and words.
 
-    Columns: doc_id, source, size, source_size, target, row (rank, bucket, place: the document's row), slot, words, begins
+    Columns: doc_id, source, size, source_size, target, row (rank, bucket, place, copy: the document's row), slot, words, begins
     (whether the document, or a repeat of it, begins with the piece).
     """
     spark = docs.sparkSession
     sized = settle(
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")),
         "mix-sizes",
-    ).withColumn("at_row", F.monotonically_increasing_id())
+    )
     targets = settle(source_targets(sized, weights, cap, block_words), "mix-targets")
     total = targets.agg(F.coalesce(F.max("hi"), F.lit(0))).first()[0]
-    shuffle_key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    known = (
-        sized.join(bounded_broadcast(targets, 10_000), sized["source"].eqNullSafe(targets["source"]))
-        .drop(targets["source"])
-        .withColumn("key", shuffle_key)
-        .withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
-        .withColumn("salt", F.when(F.col("doc_id").isNull(), F.pmod("at_row", F.lit(SALTS))).otherwise(0))
+    ranks = bounded_broadcast(targets.select(F.col("source").alias("of"), "rank"), 10_000)
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    equal = (
+        sized.join(ranks, F.col("source").eqNullSafe(F.col("of")))
+        .groupBy("rank", "doc_id", "size")
+        .agg(F.count("*").alias("n"))
+        .withColumns({"key": key, "bucket": F.conv(F.substring(key, 1, BUCKET_DIGITS), 16, 10).cast("int"), "length": F.col("n") * F.col("size")})
     )
-    before = Window.partitionBy("rank").orderBy("bucket", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        known.groupBy("rank", "bucket", "salt")
-        .agg(F.sum("size").alias("n"))
-        .select("rank", "bucket", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+        equal.groupBy("rank", "bucket")
+        .agg(F.sum("length").alias("whole"))
+        .select("rank", "bucket", F.coalesce(F.sum("whole").over(before), F.lit(0)).alias("offset"))
+    )
+    within = Window.partitionBy("rank", "bucket").orderBy("key", "doc_id", "size")
+    line = (
+        equal.withColumn("place", F.row_number().over(within))
+        .withColumn("run", F.sum("length").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+        .join(offsets, ["rank", "bucket"])
+        .select("rank", "bucket", "place", "doc_id", "size", "n", (F.col("offset") + F.col("run") - F.col("length")).alias("base"))
     )
-    within = Window.partitionBy("rank", "bucket", "salt").orderBy("key", "doc_id", "size")
+    line = settle(line, "mix-line")
+    one = F.lit(0).cast("long")
+    chunks = line.filter(F.col("n") > COPIES).withColumn("chunk", F.explode(F.sequence(one, F.expr(f"(n - 1) div {COPIES}"))))
+    chunks = chunks.repartition("rank", "bucket", "place", "chunk").union(line.filter(F.col("n") <= COPIES).withColumn("chunk", one))
+    last = F.least(F.col("n"), (F.col("chunk") + 1) * COPIES) - 1
+    known = chunks.withColumn("copy", F.explode(F.sequence(F.col("chunk") * COPIES, last))).join(bounded_broadcast(targets, 10_000), "rank")
+    known = known.withColumn("start", F.col("base") + F.col("copy") * F.col("size"))
     size, start = F.col("size"), F.col("start")
     lo = lambda p: start + p * F.col("source_size")
     hi = lambda p: F.least(lo(p) + size, F.col("quota"))
@@ -161,14 +176,10 @@ def mix(
         ),
     )
     pieces = (
-        known.withColumn("place", F.row_number().over(within))
-        .withColumn("run", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(offsets, ["rank", "bucket", "salt"])
-        .withColumn("start", F.col("offset") + F.col("run") - size)
-        .withColumn("piece", F.explode_outer(F.flatten(F.transform(passes, cut))))
+        known.withColumn("piece", F.explode_outer(F.flatten(F.transform(passes, cut))))
         .select(
             "doc_id", "source", "size", "source_size", "target", "rank",
-            F.struct("rank", "bucket", "salt", "place").alias("row"), F.col("piece.j").alias("j"), F.col("piece.words").alias("words"),
+            F.struct("rank", "bucket", "place", "copy").alias("row"), F.col("piece.j").alias("j"), F.col("piece.words").alias("words"),
             F.coalesce("piece.begins", F.lit(False)).alias("begins"),
         )
     )

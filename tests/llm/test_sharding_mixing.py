@@ -1,8 +1,9 @@
 import math
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+from tessella.llm import op3_mixing
 from tessella.llm.op2_sharding import schedule, shard_documents
 from pyspark.sql import functions as F
 
@@ -160,3 +161,19 @@ def test_many_null_ids(spark):
     rows = [(None, "s0", f"w{i} " * (i % 7), "x") for i in range(300)]
     got = taken_words(mix(spark.createDataFrame(rows, KIND).repartition(5), block_words=8)).collect()
     assert len(got) == 300 and sum(r["taken"] for r in got) == sum(r["size"] for r in got)
+
+
+def test_reruns_agree_over_other_files(spark, monkeypatch):
+    """One id, or none, in many rows: what is taken depends neither on partitions nor on chunks of equal rows."""
+    rows = [(None if i % 2 else 7, "word " * (i % 9), f"s{i % 3}") for i in range(400)] + [(i, "a b c", "s1") for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = []
+    for parts, copies in ((1, 1 << 16), (3, 1 << 16), (7, 4)):
+        monkeypatch.setattr(op3_mixing, "COPIES", copies)
+        mixed = op3_mixing.mix(frame.repartition(parts), block_words=16)
+        taken = op3_mixing.taken_words(mixed).collect()
+        assert Counter((r["doc_id"], r["size"], r["source"]) for r in taken) == Counter((i, len(t.split()), s) for i, t, s in rows)
+        assert all(r["taken"] <= 3 * r["size"] for r in taken)
+        assert mixed.select("row").distinct().count() == len(rows)
+        found.append(Counter(map(tuple, taken)))
+    assert found[0] == found[1] == found[2]
