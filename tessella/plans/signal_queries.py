@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tessella.functions import numeric as N
 from tessella.operators import coverage, signals
+from tessella.operators.running import numbered
 from tessella.plans.common import USER_SAMPLES, table, user_samples
+from tessella.streaming import live
 from tessella.streaming import segments as S
 
 HOP, BLOCK = 4, 2
@@ -67,10 +69,11 @@ def compressor_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def leveled_signal(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole chain on embeddings as short recordings."""
-    e = table(spark, sf, "embeddings")
-    samples = e.select(F.col("vec_id").alias("rec_id"), F.posexplode("embedding").alias("i", "v")).select("rec_id", F.col("i").cast("long").alias("i"), F.bround(F.col("v").cast("double") * 30000, 0).alias("x"))
-    return signals.levelled(samples, 800)
+    """The whole chain on all values of a type of event in time order, 50 samples a second: recordings of minutes."""
+    e = table(spark, sf, "events")
+    placed = numbered(e.select("event_type", "ts", "event_id", "value"), "i", "event_type", F.to_date("ts"), "ts", "event_id")
+    samples = placed.select(F.col("event_type").alias("rec_id"), F.col("i").cast("long").alias("i"), F.bround(F.col("value") * 50, 0).alias("x"))
+    return signals.levelled(samples, 50)
 
 
 def recording_windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,6 +101,20 @@ def voice_segments(spark: SparkSession, sf: str) -> DataFrame:
     return S.segments(_voice_frames(spark, sf), S.Rules(pre_roll=3, end_silence=3, min_voiced=2, longest=10))
 
 
+def queue_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of a user as frames whose service takes a quarter of an hour per unit of value: live queues for even users, replays for
+    odd ones, and a failing consumer on 20 January for every fifth."""
+    e = table(spark, sf, "events")
+    at = lambda c: F.unix_micros(c) / 1_000_000
+    frames = e.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("frame_no"), at(F.col("ts").cast("timestamp")).alias("at"), (F.col("value") * 900).alias("service"), F.lit(False).alias("failure"))
+    none = lambda kind: F.lit(None).cast(kind)
+    failing = e.select("user_id").distinct().filter("user_id % 5 = 0")
+    failures = failing.select(F.col("user_id").alias("stream_id"), none("long").alias("frame_no"), at(F.to_timestamp(F.lit("2024-01-20 00:00:00"))).alias("at"), none("double").alias("service"), F.lit(True).alias("failure"))
+    frames = frames.union(failures)
+    parts = [live.queued(frames.filter(F.col("stream_id") % 2 == n), live.QueueRules(4, n == 0)) for n in (0, 1)]
+    return live.queue_summary(parts[0].union(parts[1]))
+
+
 def rechunked_frames(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").filter("text is not null")
     chunks = c.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("chunk_no"), F.encode("text", "UTF-8").alias("data"))
@@ -106,7 +123,7 @@ def rechunked_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = [
     pcm_stats, frame_loudness, level_summary, rolling_percentile, moving_average, gain_curve, look_ahead_max, release_envelope, limiter, compressor_curve,
-    leveled_signal, recording_windows, coverage_check, voice_segments, rechunked_frames,
+    leveled_signal, recording_windows, coverage_check, voice_segments, rechunked_frames, queue_outcomes,
 ]
 
 _FRAMES = f"""{USER_SAMPLES},
@@ -176,6 +193,23 @@ r as (select s, -1::bigint as n, 0 as kept, 0 as frames, 0 as voiced, 0 as silen
             case when r.frames > 0 then r.first else f.n - least(r.kept + 1, 3) + 1 end as first
         from r join f on f.s = r.s and f.n = r.n + 1)))
 select s as stream_id, out[1] as first_frame, out[2] as last_frame, out[3] as frames, out[4] as voiced from r where out is not null""",
+    "queue_outcomes": """
+with recursive f as (select user_id as s, row_number() over (partition by user_id order by ts, event_id) as k, epoch_us(ts) / 1000000.0::double as tm, value * 900 as service,
+    user_id % 2 = 0 as live, case when user_id % 5 = 0 then epoch_us(timestamp '2024-01-20 00:00:00') / 1000000.0::double end as fails from events),
+g as (select * from f where fails is null or tm <= fails),
+r as (select s, 0::bigint as k, []::double[] as starts, '-infinity'::double as free, '-infinity'::double as entered, null::double as started, 0 as depth, false as dropped from (select distinct s from f)
+    union all
+    select s, k, case when dropped then ahead else list_append(list_filter(ahead, lambda x: x > entry), greatest(entry, free)) end, case when dropped then free else greatest(entry, free) + service end,
+        case when dropped then entered else entry end, case when not dropped then greatest(entry, free) end,
+        case when not dropped then len(list_filter(ahead, lambda x: x > entry)) + (greatest(entry, free) > entry)::int end, dropped
+    from (select *, live and len(ahead) >= 4 as dropped, case when not live and len(ahead) >= 4 then ahead[len(ahead) - 3] else wanted end as entry from (
+        select *, list_filter(starts, lambda x: x > wanted) as ahead from (
+            select r.s, g.k, r.starts, r.free, r.entered, g.service, g.live, case when g.live then g.tm else greatest(g.tm, r.entered) end as wanted
+            from r join g on g.s = r.s and g.k = r.k + 1)))),
+o as (select f.s, f.fails, case when r.k is null then 'refused' when dropped then 'dropped' when f.fails is null or started <= f.fails then 'read' when r.entered <= f.fails then 'kept' else 'refused' end as outcome, depth
+    from f left join r on f.s = r.s and f.k = r.k)
+select s as stream_id, count(*) as frames, count(*) filter (outcome = 'read') as read, count(*) filter (outcome = 'dropped') as dropped, count(*) filter (outcome = 'kept') as kept,
+    count(*) filter (outcome = 'refused') as refused, max(case when outcome in ('read', 'kept') then depth end) as deepest, bool_or(outcome = 'dropped' or fails is not null) as failed from o group by 1""",
     "rechunked_frames": """
 with s as (select conv_id, string_agg(hex(encode(text)), '' order by turn) as h from conversations where text is not null group by 1)
 select conv_id as stream_id, k as frame_no, md5(unhex(h[k * 320 + 1:k * 320 + 320])) as frame from s, unnest(range(0, length(h) // 320)) u(k)""",

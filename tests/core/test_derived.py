@@ -61,3 +61,40 @@ def test_boundary(spark):
     assert got == {1: ("2@8000", None), 2: (None, "no audio"), 3: (None, "unknown backend zz")}
     kept = spark.createDataFrame([(1, "t", None, 1.0)], "rec_id int, text string, error string, seconds double")
     assert {r["rec_id"]: (r["text"], r["error"]) for r in recognizers.recorded(rows.select("rec_id"), kept).collect()} == {1: ("t", None), 2: (None, "no recorded output"), 3: (None, "no recorded output")}
+
+
+def test_backends_in_one_pass(spark):
+    """Rows without a backend come back as errors, and a backend is loaded only where rows name it."""
+    kind = "backend string, rec_id int, sample_rate int, pcm binary"
+    rows = spark.createDataFrame([(b, i, 8000, bytearray(b"x")) for i, b in enumerate(["a", None, "b", "a", "never", "bad"])], kind)
+
+    def failing():
+        raise RuntimeError("no model")
+
+    got = {r["rec_id"]: (r["text"], r["error"]) for r in recognizers.by_backend(rows, {"a": lambda: lambda p, r: "A", "b": lambda: lambda p, r: "B", "bad": failing}).collect()}
+    assert got == {0: ("A", None), 1: (None, "unknown backend None"), 2: ("B", None), 3: ("A", None), 4: (None, "unknown backend never"), 5: (None, "no model")}
+
+
+def test_final_recognition(spark):
+    """Labels stand before the run; lengths and levelling fail by themselves; the original is heard where levelling fails."""
+    import struct
+
+    loud = struct.pack("<4000h", *[(-1) ** i * (100 + i) for i in range(4000)])
+    recordings = spark.createDataFrame([(1, 8000, bytearray(loud)), (2, 8000, bytearray(b"xyz")), (3, None, bytearray(b"ab"))], "run_id int, sample_rate int, pcm binary")
+    sources = spark.createDataFrame([(1, 5, "len"), (1, 2, "fails"), (2, 0, "len"), (3, 0, "len"), (4, 0, "len"), (1, 9, None)], "run_id int, src_idx int, backend string")
+
+    def load():
+        return lambda pcm, rate: f"{len(pcm)} {pcm == loud}"
+
+    def failing():
+        raise RuntimeError("no model")
+
+    got = {(r["run_id"], r["label"]): r for r in recognizers.final_recognition(recordings, sources, {"len": load, "fails": failing}).collect()}
+    assert set(got) == {(1, "asr1"), (1, "asr2"), (1, "asr3"), (2, "asr1"), (3, "asr1"), (4, "asr1")}
+    assert (got[1, "asr1"]["error"], got[1, "asr2"]["text"], got[1, "asr2"]["duration"], got[1, "asr2"]["level_error"]) == ("no model", "8000 False", 0.5, None)
+    assert got[1, "asr3"]["error"] == "no backend"
+    assert got[2, "asr1"]["text"] == "3 False" and got[2, "asr1"]["probe_error"] and "original kept" in got[2, "asr1"]["level_error"]
+    assert got[3, "asr1"]["text"] == "2 False" and got[3, "asr1"]["duration"] is None
+    assert got[4, "asr1"]["error"] == "no recording" and got[4, "asr1"]["text"] is None
+    named = spark.createDataFrame([("len", "fast"), ("fails", "")], "backend string, summary string")
+    assert {r["run_id"]: r["summary"] for r in recognizers.backend_summary(spark.createDataFrame([(1, 2, "fails"), (1, 5, "len"), (2, 0, "x")], "run_id int, src_idx int, backend string"), named).collect()} == {1: "fast"}

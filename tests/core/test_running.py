@@ -59,3 +59,11 @@ def test_anchors_meet_texts(spark, most):
     pad = lambda t: f" {(t or '').lower()} "
     want = {(i, j) for i, t in enumerate(texts) for j, a in enumerate(anchors) if a and pad(a) in pad(t)}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_columns_of_the_rows_stay(spark):
+    rows = [(k, i, 1.0, "own", "own", "own") for k, i, _ in series()]
+    frame = spark.createDataFrame(rows, "k int, i long, v double, _at string, _own string, _carry string")
+    for got in (running(frame, "s", F.col("v"), "k", "i", size=3), numbered(frame, "s", "k", F.expr("i div 4"), "i"), nearby(frame.withColumn("_bucket", F.lit("own")), "s", F.sum("v"), "k", "i", 1, 1, size=3)):
+        own = [c for c in got.columns if c.startswith("_")]
+        assert {tuple(set(r)) for r in got.select(*own).collect()} == {("own",)}
