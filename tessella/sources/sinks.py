@@ -73,14 +73,25 @@ def _files(spark: SparkSession, path: str):
 
 
 def replace_table(rows: DataFrame, path: str) -> None:
-    """Write a table beside the old one and swap their folders; a job that fails leaves the old one as it is."""
+    """Write a table beside the old one and swap their folders; a job or a swap that fails leaves the old one as it is."""
     spark, fresh, old = rows.sparkSession, f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     rows.write.parquet(fresh)
     files, target = _files(spark, path)
-    if files.exists(target):
-        files.rename(target, _files(spark, old)[1])
-    files.rename(_files(spark, fresh)[1], target)
-    files.delete(_files(spark, old)[1], True)
+    fresh, old = _files(spark, fresh)[1], _files(spark, old)[1]
+    had = files.exists(target)
+    # A store may answer false instead of raising.
+    if had and not files.rename(target, old):
+        files.delete(fresh, True)
+        raise OSError(f"{path} can't be moved")
+    try:
+        if not files.rename(fresh, target):
+            raise OSError(f"{path} can't be put in place")
+    except BaseException:
+        if had:
+            files.rename(old, target)
+        files.delete(fresh, True)
+        raise
+    files.delete(old, True)
 
 
 def _by_run(rows: DataFrame, key: str):
