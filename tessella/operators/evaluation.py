@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import ascii_words, contains_words, disfluency_count, mid_sentence_names, unique_ngrams, word_total
+from tessella.functions.text import ascii_words, disfluency_count, mid_sentence_names, unique_ngrams, word_total
+from tessella.operators.phrases import holding
 from tessella.storage import bounded_broadcast
 
 # Words that say nothing about where a reading stands, and the least words of a window.
@@ -21,7 +22,9 @@ def spans_of(texts: DataFrame, anchors: DataFrame) -> DataFrame:
     joined = anchors.join(texts.select("case", "text"), "case")
     exact = F.expr("locate(anchor, text)")
     words = F.filter(F.split(F.trim("anchor"), r"(?U)\s+"), lambda w: w != "")
-    loose = F.concat(F.lit("(?i)(?U)"), F.array_join(F.transform(words, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), r"\s+"))
+    # An end of quoting among the words is quoted by itself.
+    quoted = lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    loose = F.concat(F.lit("(?i)(?U)"), F.array_join(F.transform(words, quoted), r"\s+"))
     found = F.regexp_substr("text", loose)
     hit = F.when(exact > 0, F.struct((exact - 1).alias("start"), (exact - 1 + F.length("anchor")).alias("stop"))).when(
         found.isNotNull(), F.struct((F.instr("text", found) - 1).alias("start"), (F.instr("text", found) - 1 + F.length(found)).alias("stop"))
@@ -85,8 +88,10 @@ def best_windows(alternatives: DataFrame, sources: DataFrame) -> DataFrame:
     """For each alternative (case, alt_id, text) the source window with the greatest share of its distinct words.
 
     Words of ``STOP_WORDS`` in the alternative don't count. Windows are as long as what is left of it, at least
-    ``LEAST_WINDOW`` words; the first of equal ones counts. Windows meet an alternative only through a shared word, so texts
-    without one are never compared.
+    ``LEAST_WINDOW`` words; the first of equal ones counts. A window meets an alternative only through a shared word, so texts
+    without one are never compared. Counts slide: a hit counts for the starts whose windows reach it and no earlier hit of
+    its word, so it adds one at the first of these and takes one behind the last, and running sums over the two give
+    every count that occurs. Rows are twice the hits, however long alternatives and windows are.
     """
     told = F.filter(ascii_words(F.col("text")), lambda w: ~w.isin(*STOP_WORDS))
     alts = alternatives.select("case", "alt_id", told.alias("told")).filter(F.size("told") > 0)
@@ -94,12 +99,17 @@ def best_windows(alternatives: DataFrame, sources: DataFrame) -> DataFrame:
     placed = sources.select("case", "src_idx", ascii_words(F.col("text")).alias("words"))
     tokens = placed.select("case", "src_idx", F.size("words").alias("len"), F.posexplode("words").alias("pos", "word"))
     wanted = alts.select("case", "alt_id", "n", F.size("want").alias("distinct"), F.explode("want").alias("word"))
-    hits = tokens.join(wanted, ["case", "word"])
+    pair = ["case", "alt_id", "src_idx"]
+    before = F.lag("pos").over(Window.partitionBy(*pair, "word").orderBy("pos"))
+    hits = tokens.join(wanted, ["case", "word"]).repartition(*pair).withColumn("before", F.coalesce(before, F.lit(-1)))
     last = F.greatest(F.col("len") - F.col("n"), F.lit(0))
-    starts = F.sequence(F.greatest(F.col("pos") - F.col("n") + 1, F.lit(0)), F.least(F.col("pos"), last))
-    reach = F.greatest(F.col("pos") - F.col("n") + 1, F.lit(0)) <= F.least(F.col("pos"), last)
-    windows = hits.filter(reach).select("case", "alt_id", "src_idx", "len", "distinct", "word", F.explode(starts).alias("start"))
-    scored = windows.groupBy("case", "alt_id", "src_idx", "len", "distinct", "start").agg((F.countDistinct("word") / F.col("distinct")).alias("share"))
+    first = F.greatest(F.col("pos") - F.col("n") + 1, F.col("before") + 1)
+    stop = F.least(F.col("pos"), last) + 1
+    change = lambda at, by: F.struct(at.alias("start"), F.lit(by).alias("by"))
+    changes = hits.filter(first < stop).select(*pair, "len", "distinct", F.explode(F.array(change(first, 1), change(stop, -1))).alias("c"))
+    at_start = changes.groupBy(*pair, "len", "distinct", "c.start").agg(F.sum("c.by").alias("by"))
+    count = F.sum("by").over(Window.partitionBy(*pair).orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
+    scored = at_start.withColumn("share", count / F.col("distinct")).filter("share > 0")
     best = F.max_by(F.struct("share", "src_idx", "start", "len"), F.struct("share", -F.col("src_idx"), -F.col("start")))
     return scored.groupBy("case", "alt_id").agg(best.alias("b")).select("case", "alt_id", "b.share", "b.src_idx", "b.start", (F.col("b.start") / F.greatest("b.len", F.lit(1))).alias("position"))
 
@@ -141,11 +151,18 @@ def providers(replies: DataFrame, *keys: str) -> DataFrame:
 
 
 def anchors_in_all(texts: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Per case and model the anchors whose words stand in every repeat (case, model, repeat, text)."""
-    key = lambda c: F.array_join(ascii_words(c), " ")
-    rows = texts.select("case", "model", key(F.col("text")).alias("key")).join(anchors.select("case", "anchor", key(F.col("anchor")).alias("want")), "case")
-    every = rows.groupBy("case", "model", "anchor").agg(F.bool_and(contains_words(F.col("key"), F.col("want"))).alias("all"))
-    return every.groupBy("case", "model").agg(F.count_if("all").alias("anchors_hit"), F.count("*").alias("anchors"))
+    """Per case and model how many anchors (case, anchor) have their words in every repeat (case, model, repeat, text).
+
+    Equal texts of a model are one. Anchors meet texts by their rarest word.
+    """
+    rows = texts.select("case", "model", ascii_words(F.col("text")).alias("words")).distinct()
+    rows = rows.withColumn("of", F.struct("model", F.md5(F.array_join("words", " ")).alias("text")))
+    wanted = anchors.select("case", "anchor", F.array_join(ascii_words(F.col("anchor")), " ").alias("phrase")).distinct()
+    held = holding(wanted, rows, "case", "of").groupBy("case", F.col("of.model").alias("model"), "phrase").agg(F.count("*").alias("texts"))
+    every = rows.groupBy("case", "model").agg(F.count("*").alias("texts"))
+    hits = held.join(every, ["case", "model", "texts"]).join(wanted, ["case", "phrase"]).groupBy("case", "model").agg(F.count("*").alias("anchors_hit"))
+    counted = every.select("case", "model").join(wanted.groupBy("case").agg(F.count("*").alias("anchors")), "case")
+    return counted.join(hits, ["case", "model"], "left").select("case", "model", F.coalesce("anchors_hit", F.lit(0)).alias("anchors_hit"), "anchors")
 
 
 def invented_names(texts: DataFrame, known: DataFrame) -> DataFrame:

@@ -11,19 +11,18 @@ from tessella.plans.common import run_sources, table
 
 
 def _notes(spark: SparkSession, sf: str) -> DataFrame:
-    """Made-up notes, as the tables hold none: each turn of six words or more notes its first words, with a shortened copy, a
-    reordered copy, an invention and a bare copy as readings. They are checked against all whole texts of the conversation."""
-    w = T.words(F.col("text"))
-    part = lambda a, n: F.array_join(F.slice(F.col("w"), a, n), " ")
+    """Made-up notes, as the tables hold none: every run of six words of every turn (the last one may be shorter) is a note on its
+    first words, with a shortened copy, a reordered copy, an invention and a bare copy as readings. They are checked
+    against all whole texts of the conversation."""
+    part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
     alt = lambda t, v: F.struct(t.alias("text"), F.lit(1).alias("source"), v.alias("verbatim"))
-    turned = F.concat_ws(" ", F.get("w", F.lit(3)), F.get("w", F.lit(1)))
-    alts = F.array(
-        alt(F.concat_ws(" ", F.get("w", F.lit(1)), F.get("w", F.lit(3))), part(2, 4)), alt(turned, part(2, 4)),
-        alt(F.lit("zzz yyy"), F.lit("xxx zzz")), alt(part(1, 3), F.lit("xxx zzz")),
-    )
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", w.alias("w")).filter(F.size("w") >= 6)
+    pair = lambda i, j: F.concat_ws(" ", F.get("w", F.lit(i)), F.get("w", F.lit(j)))
+    alts = F.array(alt(pair(1, 3), part(2, 4)), alt(pair(3, 1), part(2, 4)), alt(F.lit("zzz yyy"), F.lit("xxx zzz")), alt(part(1, 3), F.lit("xxx zzz")))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", T.words(F.col("text")).alias("all")).filter(F.size("all") > 0)
+    rows = rows.select("conv_id", "turn", "all", F.explode(F.sequence(F.lit(0), F.expr("(size(all) - 1) div 6"))).alias("i"))
+    rows = rows.withColumn("w", F.slice("all", F.col("i") * 6 + 1, 6))
     return rows.select(
-        F.col("conv_id").alias("run_id"), F.col("turn").cast("int").alias("note_idx"), part(1, 3).alias("quote"), F.lit("").alias("before"), F.lit("").alias("after"), alts.alias("alternatives")
+        F.col("conv_id").alias("run_id"), (F.col("turn") * 1000 + F.col("i")).cast("int").alias("note_idx"), part(1, 3).alias("quote"), F.lit("").alias("before"), F.lit("").alias("after"), alts.alias("alternatives")
     )
 
 
@@ -71,10 +70,9 @@ def region_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_window(spark: SparkSession, sf: str) -> DataFrame:
-    """Made-up readings, the first eight words of each user turn, against the whole other turns of the conversation."""
+    """Each whole user turn as a reading against the whole other turns of the conversation."""
     c = table(spark, sf, "conversations").withColumn("case", F.col("conv_id"))
-    first = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
-    alternatives = c.filter("role = 'user'").select("case", F.col("turn").alias("alt_id"), first.alias("text"))
+    alternatives = c.filter("role = 'user'").select("case", F.col("turn").alias("alt_id"), "text")
     sources = c.filter("role <> 'user'").select("case", F.col("turn").cast("int").alias("src_idx"), "text")
     found = evaluation.best_windows(alternatives, sources)
     moved = evaluation.displaced(F.col("position"), F.col("share"), F.col("alt_id"), F.lit(10))
@@ -103,9 +101,11 @@ def recognition_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def anchors_in_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    """Made-up labels, the first four words of each turn, in the whole texts of the conversation."""
+    """Made-up labels, all words of each turn by one and by three, in the whole texts of the conversation."""
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("case"), F.col("role").alias("model"), "text")
-    anchors = c.select("case", F.explode(F.array_distinct(F.slice(F.split("text", " "), 1, 4))).alias("anchor")).distinct()
+    w = F.split("text", " ")
+    threes = F.transform(F.sequence(F.lit(0), ((F.size(w) - 1) / 3).cast("int")), lambda i: F.array_join(F.slice(w, (i * 3 + 1).cast("int"), 3), " "))
+    anchors = c.select("case", F.explode(F.array_distinct(F.concat(w, threes))).alias("anchor")).distinct()
     return evaluation.anchors_in_all(c, anchors)
 
 
@@ -116,9 +116,11 @@ def invented_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelled_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Made-up labels, the third and fourth word of each turn, in its whole text."""
+    """Made-up labels, every two words of each turn, in its whole text."""
     c = table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("case"), "text")
-    anchors = c.select("case", F.array_join(F.slice(F.split("text", " "), 3, 2), " ").alias("anchor"))
+    w = F.split("text", " ")
+    pairs = F.transform(F.sequence(F.lit(0), ((F.size(w) - 1) / 2).cast("int")), lambda i: F.array_join(F.slice(w, (i * 2 + 1).cast("int"), 2), " "))
+    anchors = c.select("case", F.explode(pairs).alias("anchor"))
     return evaluation.spans_of(c, anchors).select("case", F.md5("anchor").alias("anchor"), "start", "stop")
 
 
@@ -132,19 +134,20 @@ _KEYS = rf"regexp_extract_all({_FOLD}, '[\p{{L}}\p{{M}}\p{{N}}]+(?:''[\p{{L}}\p{
 _ASCII = f"regexp_extract_all({_FOLD}, '[a-z0-9'']+')"
 _CITED = f"""
 t as (select conv_id, turn, {_KEYS} as w from conversations),
-k as (select conv_id, ' ' || array_to_string(w, ' ') || ' ' as key from t),
-a as (select conv_id, turn, 0 as alt_idx, w[2] || ' ' || w[4] as text, array_to_string(w[2:5], ' ') as verbatim from t where len(w) >= 6
-    union all select conv_id, turn, 1, w[4] || ' ' || w[2], array_to_string(w[2:5], ' ') from t where len(w) >= 6
-    union all select conv_id, turn, 2, 'zzz yyy', 'xxx zzz' from t where len(w) >= 6
-    union all select conv_id, turn, 3, array_to_string(w[1:3], ' '), 'xxx zzz' from t where len(w) >= 6),
-f as (select a.conv_id, turn, alt_idx, text, verbatim, bool_or(contains(key, ' ' || verbatim || ' ')) as v, bool_or(contains(key, ' ' || text || ' ')) as h
+k as (select conv_id, ' ' || array_to_string(w, ' ') || ' ' as key from t where len(w) > 0),
+r as (select conv_id, (turn * 1000 + i)::int as note, w[6 * i + 1:6 * i + 6] as w from t, unnest(range(0, (len(w) + 5) // 6)) u(i)),
+a as (select conv_id, note, 0 as alt_idx, concat_ws(' ', w[2], w[4]) as text, array_to_string(w[2:5], ' ') as verbatim from r
+    union all select conv_id, note, 1, concat_ws(' ', w[4], w[2]), array_to_string(w[2:5], ' ') from r
+    union all select conv_id, note, 2, 'zzz yyy', 'xxx zzz' from r
+    union all select conv_id, note, 3, array_to_string(w[1:3], ' '), 'xxx zzz' from r),
+f as (select a.conv_id, note, alt_idx, text, verbatim, bool_or(verbatim <> '' and contains(key, ' ' || verbatim || ' ')) as v, bool_or(text <> '' and contains(key, ' ' || text || ' ')) as h
     from a join k using (conv_id) group by all)"""
 
 SQL = {
     "verify_citations": f"""
 with {_CITED}
-select conv_id as run_id, turn::int as note_idx, alt_idx, case when v then 'verbatim' when h then 'text' else 'none' end as found,
-    case when v and not regexp_matches(' ' || verbatim || ' ', ' ' || replace(text, ' ', ' (.* )?') || ' ') then '' else text end as text,
+select conv_id as run_id, note as note_idx, alt_idx, case when v then 'verbatim' when h then 'text' else 'none' end as found,
+    case when v and text <> '' and not regexp_matches(' ' || verbatim || ' ', ' ' || replace(text, ' ', ' (.* )?') || ' ') then '' else text end as text,
     case when not v and h then '' else verbatim end as verbatim from f""",
     "rejected_citations": f"""
 with {_CITED}
@@ -163,7 +166,7 @@ from v left join t on v.c = t.c group by v.c, model""",
     "best_window": f"""
 with c as (select conv_id, turn, role, text from conversations),
 a as (select conv_id, turn, w, greatest(len(w), {evaluation.LEAST_WINDOW}) as n, list_distinct(w) as d from (
-    select conv_id, turn, list_filter({_ASCII.replace("text", "short")}, lambda v: v not in {evaluation.STOP_WORDS}) as w from (select *, array_to_string(string_split(text, ' ')[1:8], ' ') as short from c where role = 'user'))),
+    select conv_id, turn, list_filter({_ASCII}, lambda v: v not in {evaluation.STOP_WORDS}) as w from c where role = 'user')),
 s as (select conv_id, turn, {_ASCII} as w from c where role <> 'user'),
 x as (select a.conv_id, a.turn as alt, s.turn::int as src_idx, i - 1 as start, len(s.w) as len, len(list_intersect(d, s.w[i:i + n - 1]))::double / len(d) as share
     from a join s using (conv_id), unnest(range(1, greatest(len(s.w) - n, 0) + 2)) u(i) where len(a.w) > 0),
@@ -187,7 +190,8 @@ s as (select conv_id, role, (sum(w) // count(*))::bigint as words, min(u) as uni
 select conv_id as "case", role as model, words, uniq8, n, words / greatest((conv_id % 7 * 30)::double / 60, 0.01::double) as wpm from s""",
     "anchors_in_repeats": f"""
 with t as (select conv_id, role, ' ' || array_to_string({_ASCII}, ' ') || ' ' as key from conversations),
-a as (select distinct conv_id, anchor from conversations, unnest(string_split(text, ' ')[1:4]) u(anchor)),
+s as (select conv_id, string_split(text, ' ') as s from conversations),
+a as (select conv_id, unnest(s) as anchor from s union select conv_id, array_to_string(s[3 * i + 1:3 * i + 3], ' ') from s, unnest(range(0, (len(s) + 2) // 3)) u(i)),
 k as (select conv_id, anchor, array_to_string({_ASCII.replace("text", "anchor")}, ' ') as want from a),
 e as (select t.conv_id, role, anchor, bool_and(want <> '' and contains(key, ' ' || want || ' ')) as every from t join k using (conv_id) group by 1, 2, 3)
 select conv_id as "case", role as model, count(*) filter (every) as anchors_hit, count(*) as anchors from e group by 1, 2""",
@@ -201,6 +205,7 @@ kept as (select n.* from names n join rare using (lang, name) left join written
     where n.name <> 'the' and (coalesce(w.writers, 0) = 0 or (w.writers = 1 and w.only_one = n.source)))
 select lang as "case", source as model, count(*) as names, min(name) as first_name from kept group by 1, 2""",
     "labelled_spans": """
-with a as (select conv_id || '/' || turn as c, text, array_to_string(string_split(text, ' ')[3:4], ' ') as anchor from conversations)
+with s as (select conv_id || '/' || turn as c, text, string_split(text, ' ') as s from conversations),
+a as (select c, text, array_to_string(s[2 * i + 1:2 * i + 2], ' ') as anchor from s, unnest(range(0, (len(s) + 1) // 2)) u(i))
 select c as "case", md5(anchor) as anchor, (instr(text, anchor) - 1)::int as start, (instr(text, anchor) - 1 + length(anchor))::int as stop from a where trim(anchor) <> ''""",
 }

@@ -73,8 +73,7 @@ def chat_acceptance(spark: SparkSession, sf: str) -> DataFrame:
 
 def decode_replies(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
-    words = F.split("text", " ")
-    quote = F.array_join(F.slice(words, 1, 3), " ")
+    quote = F.col("text")
     alt = lambda t: F.struct(t.alias("text"), F.lit(1).alias("source"), t.alias("verbatim"))
     entry = F.struct(quote.alias("quote"), F.array(alt(F.lit("one reading")), alt(F.lit("One, reading!")), alt(F.upper(quote)), alt(F.lit("another"))).alias("alternatives"))
     body = F.to_json(F.struct(F.array(entry, entry).alias("uncertain")))
