@@ -16,8 +16,8 @@ reference block. Method:
 
 Scale: a group of equal texts is one text, owned by its smallest id. Runs that several texts of a batch share are settled
 there, so a passage that a third of all texts hold sends one row from a batch to the index. Owners of windows are found
-with map-side combining and joined, so that Spark may split a common window. Texts are only shuffled if what they meet
-is counted to be too large to broadcast; only texts with shared grams are kept for steps 2 and 3.
+with map-side combining and joined, so that Spark may split a common window. Texts are shuffled twice, to meet their shared
+grams and, at the end, their repeats; only texts with shared grams are kept for steps 2 and 3.
 
 Edge cases: null, empty and short texts have no windows. A null id counts as larger than all others; rows of one id are
 never earlier than each other, whatever their texts. Repeats within one document stay. Repeated rows each get a row. An
@@ -38,8 +38,6 @@ from pyspark.sql import functions as F
 from tessella.llm.common import scratch, settle, table
 
 WIDTH, BLOCK, GRAM = 50, 25, 13
-#: Numbers (grams, places) of which a table that meets the texts may consist to be broadcast.
-MOST_BROADCAST = 2_000_000
 #: Distinct words whose hashes a worker remembers, and the multipliers of rolling hashes (odd numbers).
 KNOWN = 1_000_000
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -186,12 +184,6 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["a", "b", "doc_id", "row", "start"])
 
 
-def _beside(texts: DataFrame, lists: DataFrame, column: str, key: str, most: int, how: str = "inner") -> DataFrame:
-    """``texts`` joined with ``lists`` (a stored table), which is broadcast if its arrays are counted to be small."""
-    total = lists.agg(F.coalesce(F.sum(F.greatest(F.size(column), F.lit(0)) + 8), F.lit(0))).first()[0]
-    return texts.join(F.broadcast(lists) if total <= most else lists.hint("merge"), key, how)
-
-
 def shared_grams(texts: DataFrame) -> DataFrame:
     """Rows (row, marks): the texts that share least grams with others, and these grams."""
     grams = texts.select("row", "text").mapInArrow(_grams, "gram long, row long, kind byte")
@@ -213,7 +205,7 @@ def anchor_hits(work: DataFrame) -> DataFrame:
     return met.groupBy("row").agg(F.collect_set("at").alias("hits"))
 
 
-def repeats(docs: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def repeats(docs: DataFrame) -> DataFrame:
     """What is known of texts (columns doc_id, text): rows (key, owner, copies, starts).
 
     ``key`` is the text's hash and ``owner`` its smallest id, ``copies`` whether several rows have it; ``starts`` are the places of
@@ -223,12 +215,12 @@ def repeats(docs: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     keyed = keyed.filter("text is not null")
     copies = keyed.groupBy("key", "row").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).filter("n > 1")
     marks = settle(shared_grams(keyed), "marks")
-    work = _beside(keyed, marks, "marks", "row", most_broadcast).groupBy("key", "row").agg(
+    work = keyed.join(marks.hint("merge"), "row").groupBy("key", "row").agg(
         F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("marks").alias("marks")
     )
     work = settle(work, "repeat-texts")
     hits = settle(anchor_hits(work), "hits")
-    windows = _beside(work.select("doc_id", "row", "text"), hits, "hits", "row", most_broadcast)
+    windows = work.select("doc_id", "row", "text").join(hits.hint("merge"), "row")
     windows = settle(windows.mapInArrow(_windows, "a long, b long, doc_id long, row long, start int"), "windows")
     firsts = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
     later = windows.join(settle(firsts, "first-owners"), ["a", "b"]).filter("doc_id is null or doc_id > first")
@@ -265,13 +257,13 @@ def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept", "repeats"])
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept (the words that stay, joined by a space) and repeats (ranges of words)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with scratch(docs.sparkSession):
-        known = settle(repeats(docs, most_broadcast), "repeats", keep=True)
+        known = settle(repeats(docs), "repeats", keep=True)
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.md5("text").alias("key"))
-    met = _beside(texts, known, "starts", "key", most_broadcast, "left")
+    met = texts.join(known.hint("merge"), "key", "left")
     whole = F.coalesce(F.col("copies") & F.col("owner").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("owner"))), F.lit(False))
     found = met.select("doc_id", "text", whole.alias("whole"), "starts").mapInArrow(
         _removals, "doc_id long, n_words long, n_removed long, kept binary, repeats array<struct<start:int,stop:int>>"
