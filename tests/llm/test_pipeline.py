@@ -3,7 +3,8 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_near_copies import plain_components as plain_links
+from tests.llm.test_near_copies import plain_sets
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -35,7 +36,7 @@ def test_stages(spark, tmp_path):
             assert docs.columns == [c.split()[0] for c in KIND.split(", ")]
     assert Counter(steps[0]) == Counter(r for r in rows if any(c.isalpha() for c in r[1] or ""))
     order = sorted(set(steps[0]), key=lambda r: (r[0] is None, r[0] or 0))
-    roots = plain_components([plain_fingerprint(r[1]) for r in order])
+    roots = plain_links(plain_sets([r[1] for r in order]))
     assert Counter(steps[1]) == Counter(order[i] for i in set(roots))
     assert Counter(steps[2]) == Counter(r for r in steps[1] if bench not in r[1])
     assert len(steps[2]) < len(steps[1])
@@ -57,9 +58,6 @@ def test_stages(spark, tmp_path):
 
 def test_stages_with_near_copies_by_shingles(spark, tmp_path):
     """All stages on rows with extra columns that clash with names of the work, near copies by Jaccard as the task sets it."""
-    from tests.llm.test_near_copies import plain_components as plain_links
-    from tests.llm.test_near_copies import plain_sets
-
     clash = ["count", "kept", "copies", "_key", "row", "row_id", "row_key", "slot", "gone_id", "lang_pred", "score", "text_key", "begins"]
     rows = [(*r, *range(len(clash))) for r in corpus()] + [(300, "lone words " + "long " * 20_000 + "end", "en", "s2", 1, *range(len(clash)))]
     kind = KIND + "".join(f", `{c}` int" for c in clash)
