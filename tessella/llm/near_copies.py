@@ -1,18 +1,21 @@
 """Near copies by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
 
-Method: fingerprints of a fixed radius miss such pairs, so they are found by an exact prefix filter. All shingles have one
-order (by hash, those that a sample of texts shows to be common behind all others; any order gives the same result). Two sets
-that are similar enough share a shingle among the first n - ceil(0.8 n) + 1 of each, and the first one that they share
-stands where enough others can follow. A pair of which the folded sets (each shingle flips one of 512 bits, for long texts
-also one of 4,096) differ in more bits than similar sets can differ in shingles is discarded; every other one is verified
-by its whole sets. For that the two texts are brought together compressed, which is a fraction of their shingles. Links are
-closed into components.
-
-So that a large family of near copies costs no square, each prefix shingle has a centre, one of its texts. A text is first
-compared with the centre of most of its shingles alone, then with those of its centres that this hasn't linked it to; after
-that only pairs that these links have not joined are compared. A common line of otherwise different texts is seldom in a
-prefix. A family of n texts that are alike only by way of a text outside it still costs n * n comparisons of folded sets,
-though no rows for them.
+Method: SimHash first. The texts' fingerprints over the same shingles are linked within two bits by the pivot distance
+tables of op5; texts of one component are verified against one of them. Fingerprints of a fixed radius miss many pairs of
+that similarity, so the others are found by an exact prefix filter. All shingles have one order (by hash, those that a
+sample of texts shows to be common behind all others; any order gives the same result). Two sets that are similar enough
+share a shingle among the first n - ceil(0.8 n) + 1 of each, and the first one that they share stands where enough others
+can follow. A pair of which the folded sets (each shingle flips one of 512 bits, for long texts also one of 4,096) differ in
+more bits than similar sets can differ in shingles is discarded; every other one is verified by its whole sets. For that
+the two texts are brought together compressed, which is a fraction of their shingles. Links are closed into components.
+
+So that a large family of near copies costs no square, components meet before texts do. A text is first compared with the
+centre of most of its prefix shingles alone. Then each shingle has a centre for every component at it, and the centres are
+compared with the first of them, until no more links are found; a component counts once at a shingle, whatever its
+size. Only what still differs is compared text by text: at a shingle, the texts outside its largest component with all of
+another component, in blocks of ``BLOCK`` by ``BLOCK`` that a hash of both sides spreads over tasks. So n texts alike and s
+others at a shingle cost n * s comparisons of folded sets, and no rows but close pairs. A common line of otherwise
+different texts is seldom in a prefix.
 
 Edge cases: words are split and lower-cased as for fingerprints; shingles are compared by 64-bit hashes. A text of fewer
 words is one shingle, all wordless and null texts are alike. Null ids, repeated rows and empty tables are treated as in op5.
@@ -31,7 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import bounded_broadcast, scratch, settle
-from tessella.llm.op5_simhash import components, shingles
+from tessella.llm import op5_simhash
+from tessella.llm.op5_simhash import components, fingerprint_of, shingles
 
 WIDTH = 5
 #: The least similarity as a fraction.
@@ -41,13 +45,15 @@ SAMPLE, COMMON, MOST = 16, 4, 100_000
 BROADCAST = 2_000_000
 #: Longs of a folded set, and of that of a set of more than ``LONG`` shingles.
 FOLD, WIDE, LONG = 8, 64, 448
+#: Texts on either side of a block of comparisons.
+BLOCK = 512
 #: Sets that a task keeps while it verifies pairs.
 CACHE = 256
 
 
-def ordered(text: str | None, width: int, common: np.ndarray) -> np.ndarray:
-    """The distinct shingle hashes of a text, common ones (a sorted array) last."""
-    found = np.unique(shingles(text, width)).view(np.int64)
+def ordered(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The distinct shingle hashes, common ones (a sorted array) last."""
+    found = np.unique(hashes).view(np.int64)
     if not len(common) or not len(found):
         return found
     at = np.searchsorted(common, found)
@@ -73,7 +79,7 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([b.column(0), _lists([ordered(t, width, none) for t in b.column(1).to_pylist()])], names=[key, "grams"])
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists([ordered(shingles(t, width), none) for t in b.column(1).to_pylist()])], names=[key, "grams"])
 
     return texts.mapInArrow(run, f"{key} long, grams array<long>")
 
@@ -87,7 +93,7 @@ def common_shingles(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, least: tuple[int, int]) -> DataFrame:
-    """Rows (id, text_key, node, n, fold, wide, prefix): node stands for a set of n shingles, prefix has the first of them."""
+    """Rows (id, text_key, node, fp, n, fold, wide, prefix): node stands for a set of n shingles, prefix has the first of them."""
     common = common_shingles(docs, text_col, width)
     num, den = least
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
@@ -96,19 +102,21 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, least: tup
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                nodes, sizes, folds, wides, firsts = [], [], [], [], []
+                nodes, prints, sizes, folds, wides, firsts = [], [], [], [], [], []
                 for text in b.column(2).to_pylist():
-                    found = ordered(text, width, common)
+                    hashes = shingles(text, width)
+                    found = ordered(hashes, common)
                     nodes.append(xxhash.xxh64_intdigest(found.tobytes(), seed=42))
+                    prints.append(fingerprint_of(hashes))
                     sizes.append(len(found))
                     folds.append(folded(found, FOLD))
                     wides.append(folded(found, WIDE) if len(found) > LONG else found[:0])
                     firsts.append(found[: len(found) + num * len(found) // -den + 1] if len(found) else found)
-                columns = [b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(folds), _lists(wides), _lists(firsts)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "node", "n", "fold", "wide", "prefix"])
+                columns = [b.column(0), b.column(1), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints)), pa.array(sizes, pa.int32()), _lists(folds), _lists(wides), _lists(firsts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "node", "fp", "n", "fold", "wide", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, text_key long, node long, n int, fold array<long>, wide array<long>, prefix array<long>")
+    return rows.mapInArrow(run, f"id {kind}, text_key long, node long, fp long, n int, fold array<long>, wide array<long>, prefix array<long>")
 
 
 def _may_be_alike(a: str, b: str, least: tuple[int, int]) -> Column:
@@ -186,7 +194,7 @@ def _distinct(rows: DataFrame) -> DataFrame:
     """One row a node, the one with the least id. Only rows of nodes that several texts share are shuffled."""
     again = rows.groupBy("node").count().filter("count > 1").select("node")
     again = bounded_broadcast(settle(again, "repeated-nodes"), BROADCAST)
-    columns = ["node", "id", "text_key", "n", "fold", "wide", "prefix"]
+    columns = ["node", "id", "text_key", "fp", "n", "fold", "wide", "prefix"]
     least = rows.join(again, "node", "left_semi").groupBy("node").agg(F.min(F.struct(*columns[1:])).alias("first"))
     lone = rows.join(again, "node", "left_anti").select(*columns)
     return lone.union(settle(least.select("node", "first.*"), "repeated-firsts"))
@@ -199,14 +207,8 @@ def _linked(firsts: DataFrame, docs: DataFrame, text_col: str, width: int, least
     met = settle(rows.join(bounded_broadcast(repeated, BROADCAST), "gram"), "shingle-blocks")
     folds = firsts.select("node", *[F.col("fold")[i].alias(f"f{i}") for i in range(FOLD)])
     alike = lambda pairs: _alike(pairs, firsts, docs, text_col, width, least)
-
-    def meetings(placed: DataFrame, others: DataFrame, *more: Column) -> DataFrame:
-        """Rows (a, b, n) of two texts, once for each shingle at which they may be alike."""
-        a, b = placed.alias("a"), others.alias("b")
-        one = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.node") < F.col("b.node")) & _may_be_alike("a", "b", least)
-        for m in more:
-            one = one & m
-        return a.join(b, one).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.least("a.n", "b.n").alias("n"))
+    apart, close = F.col("a.root") != F.col("b.root"), _folded_close("a", "b", least)
+    lesser = F.least("a.n", "b.n").alias("n")
 
     def placed_by(near: DataFrame) -> DataFrame:
         """The rows of shingles at which texts of several roots still meet, with their roots and folded sets."""
@@ -214,19 +216,50 @@ def _linked(firsts: DataFrame, docs: DataFrame, text_col: str, width: int, least
         mixed = placed.groupBy("gram").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one <> other").select("gram")
         return settle(placed.join(mixed, "gram", "left_semi").join(folds, "node"), "mixed-blocks")
 
-    def centres(placed: DataFrame) -> DataFrame:
-        columns = [c for c in placed.columns if c not in ("gram", "node")]
-        return placed.groupBy("gram").agg(F.min(F.struct("node", *columns)).alias("c")).select("gram", "c.*")
-
-    apart, close = F.col("a.root") != F.col("b.root"), _folded_close("a", "b", least)
-    # First each text with the one text that it meets as a centre at most of its shingles, then with its other centres,
-    # then whatever is still apart. The folded sets are compared where texts meet, so only close pairs are given out.
-    shared = meetings(centres(met), met).groupBy("a", "b", "n").count()
-    near = alike(shared.groupBy("b").agg(F.max_by(F.struct("a", "n"), F.struct("count", "a")).alias("c")).select("c.a", "b", "c.n"))
-    placed = placed_by(near)
-    near = near.union(alike(meetings(centres(placed), placed, apart, close).distinct()))
-    placed = placed_by(near)
-    return components(near.union(alike(meetings(placed, placed, apart, close).distinct())))
+    def centres(placed: DataFrame, *by: str) -> DataFrame:
+        columns = [c for c in placed.columns if c not in (*by, "node")]
+        return placed.groupBy(*by).agg(F.min(F.struct("node", *columns)).alias("c")).select(*by, "c.*")
+
+    def between_roots(placed: DataFrame) -> DataFrame:
+        """Pairs of centres of a shingle's roots: each with the first of them."""
+        own = settle(centres(placed, "gram", "root"), "root-centres")
+        met_at = (F.col("a.gram") == F.col("b.gram")) & apart & close & _may_be_alike("a", "b", least)
+        return centres(own, "gram").alias("a").join(own.alias("b"), met_at).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), lesser).distinct()
+
+    def remaining(placed: DataFrame) -> DataFrame:
+        """All close pairs of different roots: texts outside the largest root of a shingle with those of other roots, in blocks."""
+        by_root = placed.groupBy("gram", "root").count()
+        largest = by_root.groupBy("gram").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.max("count").alias("most"), F.sum("count").alias("whole"))
+        blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+        sized = largest.select("gram", "largest", blocks(F.col("whole") - F.col("most")).alias("lefts"), blocks(F.col("whole")).alias("rights"))
+        spread = settle(placed.join(sized, "gram").withColumn("h", F.xxhash64("node")), "remaining-blocks")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = spread.filter("root <> largest").withColumn("i", F.pmod("h", "lefts").cast("int")).withColumn("j", every("rights"))
+        right = spread.withColumn("j", F.pmod("h", "rights").cast("int")).withColumn("i", every("lefts"))
+        # Two texts outside the largest root meet from either side; once is enough.
+        once = (F.col("b.root") == F.col("b.largest")) | (F.col("a.node") < F.col("b.node"))
+        met_at = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+        joined = left.alias("a").join(right.alias("b"), met_at & apart & once & close & _may_be_alike("a", "b", least))
+        return joined.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"), lesser).distinct()
+
+    # Fingerprints within two bits; then each text with the one that it meets as a centre at most of its shingles.
+    named = components(op5_simhash.links(settle(firsts.select("fp").distinct(), "near-fingerprints")))
+    prints = firsts.select("node", "n", "fp").join(named, F.col("fp") == named["node"], "left").select(firsts["node"], "n", F.coalesce("root", "fp").alias("print"))
+    prints = settle(prints, "near-prints")
+    one = prints.groupBy("print").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("texts")).filter("texts > 1")
+    pairs = prints.join(one, "print").filter("node <> c.node").select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.least("n", "c.n").alias("n"))
+    a, b = centres(met, "gram").alias("a"), met.alias("b")
+    shared = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.node") < F.col("b.node")) & _may_be_alike("a", "b", least))
+    shared = shared.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b"), lesser).count()
+    shared = shared.groupBy("b").agg(F.max_by(F.struct("a", "n"), F.struct("count", "a")).alias("c")).select("c.a", "b", "c.n")
+    near = alike(pairs.union(shared).distinct())
+    while True:
+        placed = placed_by(near)
+        more = alike(between_roots(placed))
+        if more.isEmpty():
+            break
+        near = near.union(more)
+    return components(near.union(alike(remaining(placed))))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:

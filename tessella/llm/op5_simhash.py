@@ -61,7 +61,11 @@ def shingles(text: str | None, width: int = 3) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """The 64-bit SimHash of a text's word shingles, repeats included."""
-    hashes = shingles(text, width)
+    return fingerprint_of(shingles(text, width))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     if not len(hashes):
         return 0
     counts = np.zeros(64, np.int64)
