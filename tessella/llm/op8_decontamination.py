@@ -43,7 +43,7 @@ def lowered(word: Column) -> Column:
 
 
 def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
-    """Distinct windows, lower-cased words joined by spaces, with their length and the items that have them."""
+    """Distinct rows (item_id, length, window): the windows of each item, lower-cased words joined by spaces."""
     n = F.size("words")
     starts = F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)))
     window = lambda i: ascii_lower(F.array_join(F.slice("words", i, width), " "))
@@ -51,15 +51,14 @@ def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
         benchmark.select("item_id", words_of(F.col("text")).alias("words"))
         .filter(n > 0)
         .select("item_id", F.least(n, F.lit(width)).alias("length"), F.explode(F.transform(starts, window)).alias("window"))
-        .groupBy("window", "length")
-        .agg(F.collect_set("item_id").alias("items"))
+        .distinct()
     )
 
 
 def occurrences(docs: DataFrame, windows: DataFrame, most_broadcast: int = MOST_BROADCAST) -> tuple[DataFrame, DataFrame]:
-    """Every document row as (doc_id, text_key, n_words), and verified rows (doc_id, text_key, start, stop, items).
+    """Every document row as (doc_id, text_key, n_words), and verified rows (doc_id, text_key, start, stop, window).
 
-    Words start to stop - 1 of the document are a window of these items.
+    Words start to stop - 1 of the document are this window. ``windows`` has rows (window, length), each once.
     """
     words = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
     windows = settle(windows.withColumn("window_key", F.xxhash64("window")), "windows")
@@ -110,14 +109,15 @@ def occurrences(docs: DataFrame, windows: DataFrame, most_broadcast: int = MOST_
         met = places.join(words, of).filter(same).select(*columns)
     # The keys have met; now the words themselves.
     found = met.join(windows, "window_key").filter(F.col("piece") == F.col("window"))
-    return base, found.select("doc_id", "text_key", "start", "stop", "items")
+    return base, found.select("doc_id", "text_key", "start", "stop", "window")
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, most_broadcast: int = MOST_BROADCAST
 ) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items (sorted) and contaminated (n_hit of at least 1/share of the words)."""
-    base, found = occurrences(docs, windows_of(benchmark, width), most_broadcast)
+    windows = settle(windows_of(benchmark, width), "item-windows")
+    base, found = occurrences(docs, windows.select("window", "length").distinct(), most_broadcast)
     found = settle(found.distinct(), "occurrences")
     reach = Window.partitionBy("doc_id", "text_key").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.select("doc_id", "text_key", "start", "stop").distinct()
@@ -126,11 +126,14 @@ def contamination(
         .groupBy("doc_id", "text_key")
         .agg(F.sum(F.greatest(F.col("stop") - F.col("from"), F.lit(0))).alias("n_hit"))
     )
+    # The items of a window are rows, so one that very many items share is never a list.
+    owners = windows.filter("item_id is not null").select("window", F.col("item_id").cast("string").alias("item"))
     items = (
-        found.select("doc_id", "text_key", F.explode(F.col("items").cast("array<string>")).alias("item"))
+        found.select("doc_id", "text_key", "window").distinct().join(owners, "window")
+        .select("doc_id", "text_key", "item").distinct()
         .groupBy("doc_id", "text_key")
-        .agg(F.array_sort(F.collect_set("item")).alias("items"))
-    )
+        .agg(F.array_sort(F.collect_list("item")).alias("items"))
+    )
     hit = hits.join(items.withColumnsRenamed({"doc_id": "i", "text_key": "k"}), F.col("doc_id").eqNullSafe(F.col("i")) & F.col("text_key").eqNullSafe(F.col("k")), "left").select(
         F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "n_hit", "items"
     )
