@@ -215,8 +215,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     keyed = keyed.filter("text is not null")
     copies = keyed.groupBy("key", "row").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).filter("n > 1")
     marks = settle(shared_grams(keyed), "marks")
-    work = keyed.join(marks.hint("merge"), "row").groupBy("key", "row").agg(
-        F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("marks").alias("marks")
+    # Grouped by another column than the join's, so that Spark may split a text with very many copies, of which a task sends one.
+    work = keyed.join(marks.hint("merge"), "row").groupBy("key").agg(
+        F.first("row").alias("row"), F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("marks").alias("marks")
     )
     work = settle(work, "repeat-texts")
     hits = settle(anchor_hits(work), "hits")
