@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import collapse
+from tessella.functions.text import collapse, trim_space
 
 TOLERANCE, LENGTH_TOLERANCE = 0.002, 0.01
 
@@ -55,3 +55,26 @@ def assembled(segments: DataFrame) -> DataFrame:
     """Recognised text (rec_id, k, text) per recording: segments stripped, in order, one space between; NULL is empty."""
     ordered = F.array_sort(F.collect_list(F.struct("k", F.trim(F.coalesce("text", F.lit(""))).alias("t"))))
     return segments.groupBy("rec_id").agg(collapse(F.array_join(F.transform(ordered, lambda s: s["t"]), " ")).alias("text"))
+
+
+def worker_replies(replies: DataFrame) -> DataFrame:
+    """Replies of a recogniser's worker process (rec_id, exit_code, stdout, stderr) as the columns that ``coverage`` reads, or
+    an error: a failed process by its message, anything but one JSON object by that. Fields of other types are NULL."""
+    body = F.try_parse_json("stdout")
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(body, path, "variant")), F.lit(""))
+    typed = lambda path, fits, to: F.when(fits(kind(path)), F.try_variant_get(body, path, to))
+    number = lambda k: k.rlike("^(BIGINT|DECIMAL|DOUBLE)")
+    windows = lambda k: k.startswith("ARRAY") & ~k.rlike("(start|end): (STRING|BOOLEAN)") & ~k.contains("VARIANT")
+    said = trim_space(F.coalesce("stderr", F.lit("")))
+    error = (
+        F.when(F.col("exit_code") != 0, F.when(said != "", said).otherwise(F.concat(F.lit("the worker ended with "), F.col("exit_code").cast("string"))))
+        .when(body.isNull(), "the worker's reply is not JSON")
+        .when(~F.schema_of_variant(body).startswith("OBJECT"), "the worker's reply is no object")
+    )
+    return replies.select(
+        "rec_id", error.alias("error"),
+        F.when(error.isNull(), typed("$.text", lambda k: k == "STRING", "string")).alias("text"),
+        F.when(error.isNull(), typed("$.truncated", lambda k: k == "BOOLEAN", "boolean")).alias("truncated"),
+        F.when(error.isNull(), typed("$.audio_seconds", number, "double")).alias("audio_seconds"),
+        F.when(error.isNull(), typed("$.segments", windows, "array<struct<start:double,end:double,text:string>>")).alias("segments"),
+    )

@@ -43,6 +43,19 @@ def produced_stems(runs: DataFrame, outcomes: DataFrame) -> DataFrame:
     return runs.join(heard.withColumn("o", F.col("o").cast("array<struct<src_idx:int,tag:string>>")), "run_id", "left").select("run_id", bounded_stem(parts).alias("stem"))
 
 
+def label_backends(transcripts: DataFrame, sources: DataFrame, prefix: str = "asr") -> DataFrame:
+    """Transcripts (run_id, label, model) with the backend of their source and the tag in file names.
+
+    Labels are positional: the n-th source (run_id, src_idx, backend) of a run made the transcript labelled ``prefix`` and n;
+    other labels have no backend.
+    """
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("src_idx"))
+    of = sources.select("run_id", F.concat(F.lit(prefix), place.cast("string")).alias("label"), "backend")
+    tag = model_tag(F.col("model"))
+    tagged = F.when(F.col("backend").isin(*WHISPER) & ~tag.contains("whisper"), F.concat(F.lit("whisper-"), tag)).otherwise(tag)
+    return transcripts.join(of, ["run_id", "label"], "left").withColumn("tag", tagged)
+
+
 def export_names(sources: DataFrame) -> DataFrame:
     """File names of exported sources: place and slug."""
     n = F.row_number().over(Window.partitionBy("run_id").orderBy("src_idx"))

@@ -77,3 +77,17 @@ def request_messages(plans: DataFrame, system: str) -> DataFrame:
     """The same two messages for sending and for export."""
     message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     return plans.withColumn("messages", F.array(message("system", F.lit(system)), message("user", F.col("prompt"))))
+
+
+def request_payloads(plans: DataFrame, routed: bool = False, effort: str | None = None) -> DataFrame:
+    """The JSON body of each request (model, messages, max_tokens, and optionally schema, a JSON text): greedy decoding, the shape of the
+    reply where a schema bounds it, only providers that honour it where requests are ``routed``, and the effort if set."""
+    schema = F.col("schema") if "schema" in plans.columns else F.lit(None).cast("string")
+    body = F.struct("model", "messages", F.lit(0.0).alias("temperature"), F.lit(1).alias("top_p"), "max_tokens")
+    parts = [
+        F.when(schema.isNotNull(), F.concat(F.lit(',"response_format":{"type":"json_schema","json_schema":{"name":"reply","strict":true,"schema":'), schema, F.lit("}}"))),
+        F.when(schema.isNotNull() & F.lit(routed), F.lit(',"provider":{"require_parameters":true}')),
+        F.when(F.lit(effort).isNotNull(), F.concat(F.lit(',"reasoning":'), F.to_json(F.struct(F.lit(effort).alias("effort"))))),
+    ]
+    head = F.regexp_replace(F.to_json(body), r"\}$", "")
+    return plans.withColumn("payload", F.concat(head, *[F.coalesce(x, F.lit("")) for x in parts], F.lit("}")))

@@ -70,6 +70,11 @@ def levels(frames: DataFrame) -> DataFrame:
     return frames.groupBy("run_id").agg(F.max("peak").alias("peak"), F.bround(F.max("rms"), 2).alias("rms")).withColumn("peak_db", decibels(F.col("peak")))
 
 
+def clean_texts(runs: DataFrame, cleanups: DataFrame) -> DataFrame:
+    """Every run with its cleaned text (run_id, text), empty without a cleanup."""
+    return runs.join(cleanups.select("run_id", F.col("text").alias("clean_text")), "run_id", "left").withColumn("clean_text", F.coalesce("clean_text", F.lit("")))
+
+
 def run_failed(runs: DataFrame) -> DataFrame:
     """A run fails that was interrupted, has errors or made no output."""
     return runs.withColumn("failed", F.col("interrupted") | (F.col("errors") > 0) | (F.coalesce("output", F.lit("")) == ""))

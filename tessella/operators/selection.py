@@ -71,6 +71,12 @@ def hosted_names(sources: DataFrame, hosted: list[str]) -> DataFrame:
     return sources.filter(F.col("backend").isin(*hosted)).groupBy("run_id").agg(names.alias("names"))
 
 
+def network_backends(sources: DataFrame, hosted: list[str]) -> DataFrame:
+    """Per run the hosted backends, distinct and sorted; an empty list for runs without one."""
+    found = F.array_sort(F.collect_set(F.when(F.col("backend").isin(*hosted), F.col("backend"))))
+    return sources.groupBy("run_id").agg(found.alias("backends"))
+
+
 def numbered_labels(sources: DataFrame, prefix: str = "asr") -> DataFrame:
     """Positional labels in collection order."""
     return sources.withColumn("label", F.concat(F.lit(prefix), F.row_number().over(by_run("src_idx")).cast("string")))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import eval_queries, run_queries, signal_queries, text_queries
+from tessella.plans import eval_queries, item_queries, run_queries, signal_queries, text_queries
 
-MODULES = (run_queries, text_queries, eval_queries, signal_queries)
+MODULES = (run_queries, text_queries, eval_queries, signal_queries, item_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

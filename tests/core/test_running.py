@@ -67,3 +67,36 @@ def test_columns_of_the_rows_stay(spark):
     for got in (running(frame, "s", F.col("v"), "k", "i", size=3), numbered(frame, "s", "k", F.expr("i div 4"), "i"), nearby(frame.withColumn("_bucket", F.lit("own")), "s", F.sum("v"), "k", "i", 1, 1, size=3)):
         own = [c for c in got.columns if c.startswith("_")]
         assert {tuple(set(r)) for r in got.select(*own).collect()} == {("own",)}
+
+
+def test_quoting_marks_in_anchors(spark):
+    """Anchors are no patterns, whatever they hold."""
+    from tessella.operators.evaluation import spans_of
+
+    texts = spark.createDataFrame([("c", r"a foo \e Bar (x) [y] \Q z")], "case string, text string")
+    anchors = spark.createDataFrame([("c", r"FOO  \E bar"), ("c", "(X) [y]"), ("c", r"\q Z"), ("c", "absent"), ("c", " "), ("c", None)], "case string, anchor string")
+    got = {r["anchor"]: (r["start"], r["stop"]) for r in spans_of(texts, anchors).collect()}
+    assert got == {r"FOO  \E bar": (2, 12), "(X) [y]": (13, 20), r"\q Z": (21, 25)}
+
+
+def test_windows_slide_as_plain_loops_do(spark):
+    from tessella.operators.evaluation import LEAST_WINDOW, STOP_WORDS, best_windows
+
+    rnd = random.Random(8)
+    vocabulary = ["the", "cat", "dog", "ran", "far", "um", "blue", "sea"]
+    say = lambda n: " ".join(rnd.choices(vocabulary, k=n))
+    alts = [(c, i, say(rnd.randrange(0, 12))) for c in range(4) for i in range(6)]
+    sources = [(c, i, say(rnd.randrange(0, 25))) for c in range(4) for i in range(3)]
+    got = {(r["case"], r["alt_id"]): (r["share"], r["src_idx"], r["start"]) for r in best_windows(spark.createDataFrame(alts, "case int, alt_id int, text string"), spark.createDataFrame(sources, "case int, src_idx int, text string")).collect()}
+    want = {}
+    for c, i, text in alts:
+        told = [w for w in text.split() if w not in STOP_WORDS]
+        n, best = max(len(told), LEAST_WINDOW), (0, 0, 0)
+        for c2, s, other in sources:
+            w = other.split()
+            for start in range(max(len(w) - n, 0) + 1 if c2 == c and told else 0):
+                share = len(set(told) & set(w[start : start + n])) / len(set(told))
+                best = max(best, (share, -s, -start), key=lambda b: (b[0] > 0, b)) if share else best
+        if best[0]:
+            want[c, i] = (best[0], -best[1], -best[2])
+    assert got == want and len(want) > 10
