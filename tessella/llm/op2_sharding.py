@@ -5,7 +5,7 @@ Scale: a heap over every distinct text would have to live on the driver. Instead
 the smaller groups are first gathered by hash into ``shards * grain`` bundles that are scheduled as one item each. The
 heap so sees at most ``2 * shards * grain`` items at any corpus size, and equal texts never part.
 
-Law: ``bytes``. LPT leaves the fullest shard at most one smallest item above the mean, unless a single group of equal
+Law: ``bytes``. LPT leaves the fullest shard above the mean by no more than the last item placed on it, unless a single group of equal
 texts is larger than a shard's share; that group then fills a shard alone, as it must stay together.
 
 Edge cases: a null text has no bytes (size 16), checksum 0, and all null texts form one group apart from empty texts. Null
