@@ -42,7 +42,7 @@ WIDTH = 5
 LEAST = (4, 5)
 #: One text of so many is sampled for common shingles; a shingle of so many sampled texts is common; so many are kept.
 SAMPLE, COMMON, MOST = 16, 4, 100_000
-BROADCAST = 2_000_000
+BROADCAST = 1_000_000
 #: Longs of a folded set, and of that of a set of more than ``LONG`` shingles.
 FOLD, WIDE, LONG = 8, 64, 448
 #: Texts on either side of a block of comparisons.
@@ -180,6 +180,8 @@ def _alike(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, text_col: str,
     of = lambda c: firsts.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
     bits = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     pairs = settle(pairs, "close-pairs")
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     closer = pairs.filter(F.col("n") > LONG).select("a", "b").join(of("a"), "a").join(of("b"), "b").filter((num + den) * bits <= (den - num) * (F.col("n_a") + F.col("n_b")))
     near = settle(pairs.filter(F.col("n") <= LONG).select("a", "b").union(closer.select("a", "b")), "closer-pairs")
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts.select("node", "text_key"), "node")
@@ -242,24 +244,28 @@ def _linked(firsts: DataFrame, docs: DataFrame, text_col: str, width: int, least
         joined = left.alias("a").join(right.alias("b"), met_at & apart & once & close & _may_be_alike("a", "b", least))
         return joined.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"), lesser).distinct()
 
-    # Fingerprints within two bits; then each text with the one that it meets as a centre at most of its shingles.
-    named = components(op5_simhash.links(settle(firsts.select("fp").distinct(), "near-fingerprints")))
-    prints = firsts.select("node", "n", "fp").join(named, F.col("fp") == named["node"], "left").select(firsts["node"], "n", F.coalesce("root", "fp").alias("print"))
-    prints = settle(prints, "near-prints")
-    one = prints.groupBy("print").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("texts")).filter("texts > 1")
-    pairs = prints.join(one, "print").filter("node <> c.node").select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.least("n", "c.n").alias("n"))
-    a, b = centres(met, "gram").alias("a"), met.alias("b")
-    shared = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.node") < F.col("b.node")) & _may_be_alike("a", "b", least))
-    shared = shared.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b"), lesser).count()
-    shared = shared.groupBy("b").agg(F.max_by(F.struct("a", "n"), F.struct("count", "a")).alias("c")).select("c.a", "b", "c.n")
-    near = alike(pairs.union(shared).distinct())
-    while True:
-        placed = placed_by(near)
-        more = alike(between_roots(placed))
-        if more.isEmpty():
-            break
+    def added(pairs_of) -> DataFrame:
+        """The similar pairs among those of a step; what the step wrote besides goes with it."""
+        with scratch(docs.sparkSession):
+            return settle(alike(pairs_of()), "near-links", keep=True)
+
+    def first_pairs() -> DataFrame:
+        """Texts of fingerprints within two bits, and each text with the one that it meets as a centre at most of its shingles."""
+        named = components(op5_simhash.links(settle(firsts.select("fp").distinct(), "near-fingerprints"))).toDF("of", "root")
+        prints = firsts.select("node", "n", "fp").join(named, F.col("fp") == F.col("of"), "left").select("node", "n", F.coalesce("root", "fp").alias("print"))
+        prints = settle(prints, "near-prints")
+        one = prints.groupBy("print").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("texts")).filter("texts > 1")
+        pairs = prints.join(one, "print").filter("node <> c.node").select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.least("n", "c.n").alias("n"))
+        a, b = centres(met, "gram").alias("a"), met.alias("b")
+        shared = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.node") < F.col("b.node")) & _may_be_alike("a", "b", least))
+        shared = shared.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b"), lesser).count()
+        shared = shared.groupBy("b").agg(F.max_by(F.struct("a", "n"), F.struct("count", "a")).alias("c")).select("c.a", "b", "c.n")
+        return pairs.union(shared).distinct()
+
+    near = added(first_pairs)
+    while not (more := added(lambda: between_roots(placed_by(near)))).isEmpty():
         near = near.union(more)
-    return components(near.union(alike(remaining(placed))))
+    return components(near.union(added(lambda: remaining(placed_by(near)))))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:

@@ -38,7 +38,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 64, 40_000
 BLOCK = 512
 MOST_ENTRIES = 1 << 26
 #: Letters, times languages, that are parsed at a time.
-SLICE = 1 << 23
+SLICE = 1 << 21
 RESULT = "lang_pred string, score double"
 
 
