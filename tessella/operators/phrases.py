@@ -1,10 +1,29 @@
-"""Phrases that stand in texts as runs of whole words, found by their rarest word."""
+"""Phrases that stand in texts as runs of whole words.
+
+Texts of a key that have at most ``WHOLE`` code points in all come to its phrases as one row, so each side is shuffled
+once. Those of larger keys are spread by words and met by the phrases' rarest ones (``holding``).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.storage import bounded_broadcast, settle
+
+#: Code points of a key's texts that are kept in one row, and large keys that are broadcast.
+WHOLE, LARGE_KEYS = 1 << 16, 200_000
+
+
+def by_size(key: str, texts: DataFrame, *others: DataFrame) -> tuple[list[DataFrame], list[DataFrame] | None]:
+    """``texts`` (key, text, ...) and ``others`` (key, ...), those of keys with few text first, then those of large keys, if any."""
+    sizes = texts.groupBy(key).agg(F.sum(F.length("text")).alias("_n")).filter(F.col("_n") > WHOLE).select(key)
+    large = settle(sizes, "large-keys")
+    if large.isEmpty():
+        return [texts, *others], None
+    large = bounded_broadcast(large, LARGE_KEYS)
+    return [d.join(large, key, "left_anti") for d in (texts, *others)], [d.join(large, key, "left_semi") for d in (texts, *others)]
+
 
 def holding(phrases: DataFrame, texts: DataFrame, key: str, text_id: str) -> DataFrame:
     """Rows (key, text_id, phrase): the texts that hold a phrase of their key.
