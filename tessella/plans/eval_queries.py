@@ -105,7 +105,7 @@ def anchors_in_repeats(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("case"), F.col("role").alias("model"), "text")
     w = F.split("text", " ")
     threes = F.transform(F.sequence(F.lit(0), ((F.size(w) - 1) / 3).cast("int")), lambda i: F.array_join(F.slice(w, (i * 3 + 1).cast("int"), 3), " "))
-    anchors = c.select("case", F.explode(F.array_distinct(F.concat(w, threes))).alias("anchor")).distinct()
+    anchors = c.select("case", F.explode(F.array_distinct(F.concat(w, threes))).alias("anchor"))
     return evaluation.anchors_in_all(c, anchors)
 
 
