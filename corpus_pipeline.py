@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import near_copies, op2_sharding, op3_mixing, op6_langid, op8_decontamination
-from tessella.llm.common import bounded_broadcast, scratch, settle, table
+from tessella.llm.common import bounded_broadcast, scratch, settle, small_batches, table
 
 #: Rows of a list up to which it is broadcast; beyond that rows and list are shuffled by their key.
 BROADCAST = 2_000_000
@@ -51,8 +51,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = op6_langid.fit(docs.filter(~op6_langid.held_out(F.col("doc_id"))).select("text", "lang"))
     if not model.langs:
         return docs
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return op6_langid.identify(held, model).filter("lang_pred <> 'und'").select("row.*")
+    # Only keys go along with the texts to Python and back.
+    keyed = docs.select(F.col("doc_id").alias("row_id"), _row_key(docs).alias("row_key"), "text")
+    found = op6_langid.identify(keyed, model).filter("lang_pred = 'und'").select("row_id", "row_key").distinct()
+    with small_batches(spark):
+        return _without(_held(docs), found).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_broadcast, scratch, settle
+from tessella.llm.common import bounded_broadcast, scratch, settle, small_batches
 from tessella.llm import op5_simhash
 from tessella.llm.op5_simhash import components, fingerprint_of, shingles
 
@@ -271,7 +271,7 @@ def _linked(firsts: DataFrame, docs: DataFrame, text_col: str, width: int, least
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:
     """Rows (doc_id, component_id): each document and the smallest id that it can reach over links."""
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), small_batches(docs.sparkSession):
         rows = settle(prefixes(docs, id_col, text_col, width, least), "shingle-prefixes")
         firsts = _distinct(rows)
         linked = settle(_linked(firsts, docs, text_col, width, least), "near-copies")

@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,9 +67,13 @@ def shard_documents(
     )
     # At most 2 * items rows: groups that reach the threshold, and the bundles.
     placed = schedule((((r["alone"], r["item"]), r["bytes"]) for r in groups.collect()), shards)
-    rows = lambda alone: [(item, shard) for (a, item), shard in placed.items() if a == alone]
-    single = spark.createDataFrame(rows(True), "group_key long, own_shard int")
-    bundled = spark.createDataFrame(rows(False), "bundle long, bundle_shard int")
+
+    def listed(alone: bool, *names: str) -> DataFrame:
+        """As an Arrow table, for which no executor starts Python workers."""
+        rows = [(item, shard) for (a, item), shard in placed.items() if a == alone]
+        return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32()))], names=names))
+
+    single, bundled = listed(True, "group_key", "own_shard"), listed(False, "bundle", "bundle_shard")
     dealt = (
         sized.withColumn("bundle", F.pmod("group_key", F.lit(items)))
         .join(F.broadcast(single), "group_key", "left")

@@ -26,18 +26,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import table
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 40_000
 BLOCK = 512
 MOST_ENTRIES = 1 << 26
-#: Letters, times languages, that are parsed at a time.
+#: Letters of blocks, times languages, that are parsed at a time; a block that isn't full takes the memory of a full one.
 SLICE = 1 << 21
 RESULT = "lang_pred string, score double"
 
@@ -247,6 +251,13 @@ def predict(model: Model, texts: list[str | None], whole: bool = False) -> pd.Da
 
     Phrases end with their blocks unless texts are parsed ``whole``, as ``identify`` does.
     """
+    import pandas as pd  # not in the workers, which it would take memory from
+
+    return pd.DataFrame(dict(zip(("lang_pred", "score"), predicted(model, texts, whole), strict=True)))
+
+
+def predicted(model: Model, texts: list[str | None], whole: bool = False) -> tuple[list[str], list[float]]:
+    """The columns of ``predict``."""
     symbols = _symbols(model.letters)
     langs, scores = [], []
     at = 0
@@ -254,7 +265,7 @@ def predict(model: Model, texts: list[str | None], whole: bool = False) -> pd.Da
         coded, n = [], 0
         while at < len(texts) and (not coded or n * max(len(model.langs), 1) < SLICE):
             coded.append(_coded(texts[at], symbols))
-            n += len(coded[-1])
+            n += -(-len(coded[-1]) // BLOCK) * BLOCK
             at += 1
         if not model.langs or not n:
             langs += ["und"] * len(coded)
@@ -267,7 +278,7 @@ def predict(model: Model, texts: list[str | None], whole: bool = False) -> pd.Da
         ahead = 1 - ranked[0] / np.maximum(ranked[1], 1e-12) if len(model.langs) > 1 else np.ones(len(coded))
         langs += [model.langs[b] if s else "und" for b, s in zip(best, sizes, strict=True)]
         scores += [float(min(max(a, 0.0), 1.0)) if s else 0.0 for a, s in zip(ahead, sizes, strict=True)]
-    return pd.DataFrame({"lang_pred": langs, "score": scores})
+    return langs, scores
 
 
 def held_out(doc_id):
@@ -300,10 +311,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """``docs`` with lang_pred and score, which take the place of columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(RESULT)
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(RESULT)
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for t in texts:
-            yield predict(shared.value, t.tolist(), whole=True)
+            langs, scores = predicted(shared.value, t.to_pylist(), whole=True)
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     # The rows stand in a struct, so that no name of theirs meets one of the work beside them.
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")

@@ -86,7 +86,9 @@ def occurrences(docs: DataFrame, windows: DataFrame, most_broadcast: int = MOST_
     columns = ["doc_id", "text_key", n_words, start.alias("start"), (start + F.col("length")).alias("stop"), "window_key", piece.alias("piece")]
     if prefixes.count() <= most_broadcast:
         # One more word, the empty one, ends each text; its row brings the number of words from the same scan.
-        end = docs.sparkSession.createDataFrame([("", 0, 0, None)], "word string, offset int, length int, window_key long")
+        # A range makes it without Python workers, as a list of rows would start on every executor.
+        none = F.lit(None).cast("long")
+        end = docs.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(0).alias("offset"), F.lit(0).alias("length"), none.alias("window_key"))
         placed = words.select("*", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "raw"))
         inside = (start >= 0) & (start + F.col("length") <= F.size("words"))
         met = (
