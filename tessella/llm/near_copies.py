@@ -11,8 +11,10 @@ the two texts are brought together compressed, which is a fraction of their shin
 
 So that a large family of near copies costs no square, components meet before texts do. A text is first compared with the
 centre of most of its prefix shingles alone. Then each shingle has a centre for every component at it, and the centres are
-compared with the first of them, until no more links are found; a component counts once at a shingle, whatever its
-size. Only what still differs is compared text by text: at a shingle, the texts outside its largest component with all of
+compared with the first of them; a component counts once at a shingle, whatever its size. Beside that a hash deals the texts of
+crowded shingles into cells of about ``CELL``, another one each turn, and each text is compared with the closest of another
+component that it meets there: so a loose family, in which few texts resemble any one centre, joins up by one pair a
+text and turn, not by all its pairs. Turns end when they find few links. Only what still differs is compared text by text: at a shingle, the texts outside its largest component with all of
 another component, in blocks of ``BLOCK`` by ``BLOCK`` that a hash of both sides spreads over tasks. So n texts alike and s
 others at a shingle cost n * s comparisons of folded sets, and no rows but close pairs. A common line of otherwise
 different texts is seldom in a prefix.
@@ -47,6 +49,10 @@ BROADCAST = 250_000
 FOLD, WIDE, LONG = 8, 64, 448
 #: Texts on either side of a block of comparisons.
 BLOCK = 512
+#: Texts side by side in a cell of neighbours, on average.
+CELL = 8
+#: Turns of centres and neighbours end when one finds so many times fewer links than the first.
+FEWER = 32
 #: Sets that a task keeps while it verifies pairs.
 CACHE = 256
 
@@ -168,11 +174,15 @@ def _verified(pairs: DataFrame, width: int, least: tuple[int, int]) -> DataFrame
     return pairs.select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a long, b long")
 
 
+def _folded_bits(a: str, b: str) -> Column:
+    """In how many bits the folded sets of rows with columns f0, f1, ... differ."""
+    return sum((F.bit_count(F.col(f"{a}.f{i}").bitwiseXOR(F.col(f"{b}.f{i}"))) for i in range(FOLD)), F.lit(0))
+
+
 def _folded_close(a: str, b: str, least: tuple[int, int]) -> Column:
     """Whether rows with columns n and f0, f1, ... have folded sets that similar sets can have."""
     num, den = least
-    bits = sum((F.bit_count(F.col(f"{a}.f{i}").bitwiseXOR(F.col(f"{b}.f{i}"))) for i in range(FOLD)), F.lit(0))
-    return (num + den) * bits <= (den - num) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+    return (num + den) * _folded_bits(a, b) <= (den - num) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
 def _alike(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, text_col: str, width: int, least: tuple[int, int]) -> DataFrame:
@@ -229,6 +239,21 @@ def _linked(firsts: DataFrame, docs: DataFrame, text_col: str, width: int, least
         met_at = (F.col("a.gram") == F.col("b.gram")) & apart & close & _may_be_alike("a", "b", least)
         return centres(own, "gram").alias("a").join(own.alias("b"), met_at).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), lesser).distinct()
 
+    def between_neighbours(placed: DataFrame, turn: int) -> DataFrame:
+        """Of the texts of other roots that a hash puts beside a text at its crowded shingles, the closest: a pair a text at most."""
+        sized = placed.groupBy("gram").count().filter(F.col("count") > CELL).select("gram", F.ceil(F.col("count") / CELL).alias("cells"))
+        cell = F.pmod(F.xxhash64("node", "gram", F.lit(turn)), "cells")
+        spread = settle(placed.join(sized, "gram").withColumn("cell", cell).drop("cells"), "neighbour-cells")
+        met_at = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.node") < F.col("b.node"))
+        met_pairs = spread.alias("a").join(spread.alias("b"), met_at & apart & close & _may_be_alike("a", "b", least))
+        met_pairs = met_pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), lesser, _folded_bits("a", "b").alias("bits"))
+        either = F.explode(F.array(*[F.struct(F.col(x).alias("own"), F.col(y).alias("other")) for x, y in ("ab", "ba")]))
+        closest = met_pairs.select("n", "bits", either.alias("e")).groupBy("e.own").agg(F.min(F.struct("bits", "e.other", "n")).alias("c"))
+        return closest.select(F.least("own", "c.other").alias("a"), F.greatest("own", "c.other").alias("b"), "c.n").distinct()
+
+    def next_pairs(placed: DataFrame, turn: int) -> DataFrame:
+        return between_roots(placed).union(between_neighbours(placed, turn)).distinct()
+
     def remaining(placed: DataFrame) -> DataFrame:
         """All close pairs of different roots: texts outside the largest root of a shingle with those of other roots, in blocks."""
         by_root = placed.groupBy("gram", "root").count()
@@ -263,9 +288,11 @@ def _linked(firsts: DataFrame, docs: DataFrame, text_col: str, width: int, least
         shared = shared.groupBy("b").agg(F.max_by(F.struct("a", "n"), F.struct("count", "a")).alias("c")).select("c.a", "b", "c.n")
         return pairs.union(shared).distinct()
 
-    near = added(first_pairs)
-    while not (more := added(lambda: between_roots(placed_by(near)))).isEmpty():
-        near = near.union(more)
+    near, found = added(first_pairs), []
+    # Where a turn stops changes the work that remains, not the result.
+    while not found or FEWER * found[-1] > found[0]:
+        more = added(lambda: next_pairs(placed_by(near), len(found)))
+        near, found = near.union(more), [*found, more.count()]
     return components(near.union(added(lambda: remaining(placed_by(near)))))
 
 

@@ -62,3 +62,27 @@ def test_stage_drops_what_fingerprints_miss(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), KIND)
     kept = corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(plain_components(plain_sets(texts))))
+
+
+def test_a_loose_family_is_joined_without_all_its_pairs(spark, monkeypatch):
+    # Each text has two words of its own; only texts that have them at nearly the same place are similar enough.
+    rnd, tried = random.Random(5), []
+    base = [f"w{rnd.getrandbits(40)}" for _ in range(100)]
+    texts = []
+    for i in range(300):
+        at = rnd.randrange(99)
+        texts.append(" ".join([*base[:at], f"x{i}", f"y{i}", *base[at + 2 :]]))
+    want = plain_components(plain_sets(texts))
+    assert len(set(want)) < 10
+    settle = N.settle
+
+    def counted(df, name, **more):
+        out = settle(df, name, **more)
+        if name == "close-pairs":
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "settle", counted)
+    frame = spark.createDataFrame(list(enumerate(texts)), KIND).repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in N.near_copies(frame).collect()} == dict(enumerate(want))
+    assert sum(tried) < 6 * len(texts)
