@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from tessella.llm import op4_token_planes
 from tessella.llm.op4_token_planes import encoder, pack, read_tokens, unpack, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,3 +44,17 @@ def test_documents_read_back(spark, mode, block):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert read_tokens(write_tokens(docs, PATH)).collect() == []
+
+
+def test_pieces_met_first_stay_encoded_when_the_store_is_full(monkeypatch):
+    monkeypatch.setattr(op4_token_planes, "PIECES", 8)
+    own = op4_token_planes.Encoder(PATH)
+    texts = ["one two", *[f"one two rare{chr(97 + i)} odd{chr(97 + i)}" for i in range(12)]]
+    plain, new = Tokenizer.from_file(PATH), []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda pieces: (new.append(pieces), learn(pieces)))
+    for t in texts:
+        (got,) = own([t])
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert len(own.pieces) <= 12
+    assert not any(p in {"one", " two"} for pieces in new[1:] for p in pieces)
