@@ -8,7 +8,7 @@ gains gives every document's weight without another look at its text. Gumbel noi
 scores into a draw without replacement.
 
 Scale: blocks are made, summed and multiplied where they lie; a block is bounded by its cells, a document has at most one cell a
-bucket. Column sums are added up within a task before they are shuffled. Only the gains, one integer a bucket, pass
+bucket. Readers and workers hold one block at a time, however many a file or a task has (``ONE_ROW``, ``WIDE_ROWS``). Column sums are added up within a task before they are shuffled. Only the gains, one integer a bucket, pass
 through the driver: their number is the parameter ``buckets``. Ranks come from a range shuffle of the drawn rows (and those
 tied with the last), numbered within ranges whose counts are added up; no window spans all rows.
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import settle, table
+from tessella.llm.common import ONE_ROW, WIDE_ROWS, settle, small_batches, table
 
 #: A block ends with the document that reaches one of these.
 BLOCK_ROWS, BLOCK_CELLS = 4096, 1 << 18
@@ -105,7 +105,8 @@ def csr_blocks(docs: DataFrame, id_col: str, text_col: str, buckets: int, max_ru
             yield block()
 
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return settle(read.mapInArrow(blocks, CSR.format(kind)), name)
+    with small_batches(docs.sparkSession):
+        return settle(read.mapInArrow(blocks, CSR.format(kind)), name, options=WIDE_ROWS)
 
 
 def column_sums(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -186,12 +187,15 @@ def resampled(
     """Per document: doc_id, n_words, n_features, weight, score and rank (NULL: not drawn)."""
     corpus = csr_blocks(docs, id_col, text_col, buckets, max_run, "csr-corpus")
     wanted = csr_blocks(target, target_id, target_text, buckets, max_run, "csr-target")
-    gains = bucket_gains(docs.sparkSession, corpus, wanted, buckets)
+    with small_batches(docs.sparkSession, ONE_ROW):
+        gains = bucket_gains(docs.sparkSession, corpus, wanted, buckets)
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     h = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296)))
     scored = weighted(corpus, gains, docs.schema[id_col].dataType.simpleString()).withColumn("score", F.col("weight") + noise)
-    return ranked(settle(scored, "scored"), share, least_words)
+    with small_batches(docs.sparkSession, ONE_ROW):
+        scored = settle(scored, "scored")
+    return ranked(scored, share, least_words)
 
 
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

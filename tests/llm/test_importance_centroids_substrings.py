@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,39 @@ def test_resampling_of_empty_tables(spark):
     assert Counter(map(tuple, op11.resampled(docs, none, share=100).collect())) == plain_resampled([(1, "a " * 30), (2, None)], [], 10_000, 1, 100, 20)
 
 
+def test_blocks_are_held_one_at_a_time(spark, monkeypatch, tmp_path):
+    """Many blocks in one file: workers get them one by one, Spark's reader takes one a batch, and row groups end by their bytes."""
+    docs, items = [(i, f"alpha beta w{i}") for i in range(60)], [(1, "alpha w7")]
+    plain, original, readers = tmp_path / "batches", type(spark.range(0)).mapInArrow, {}
+
+    def noted(batches):
+        for b in batches:
+            with plain.open("a") as f:
+                print("indices" in b.schema.names, b.num_rows, file=f)
+            yield b
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, *a, **k: original(self, lambda batches: f(noted(batches)), *a, **k))
+    keep = lambda df, name, *a, f=op11.settle, **k: (readers.setdefault(name, (spark.conf.get("spark.sql.parquet.columnarReaderBatchSize"), k)), f(df, name, *a, **k))[1]
+    monkeypatch.setattr(op11, "settle", keep)
+    monkeypatch.setattr(op11, "BLOCK_ROWS", 2)
+    before = {k: spark.conf.get(k) for k in op11.ONE_ROW}
+    got = op11.resampled(spark.createDataFrame(docs, KIND).coalesce(1), spark.createDataFrame(items, "item_id long, text string"), share=50, least_words=0).collect()
+    assert Counter(map(tuple, got)) == plain_resampled(docs, items, 10_000, 1, 50, 0)
+    of_blocks = [int(n) for kind, n in map(str.split, plain.read_text().splitlines()) if kind == "True"]
+    assert len(of_blocks) >= 60 and set(of_blocks) == {1}
+    assert readers["scored"][0] == "1" and readers["csr-corpus"][1]["options"] == op11.WIDE_ROWS
+    assert {k: spark.conf.get(k) for k in op11.ONE_ROW} == before
+
+
+def test_row_groups_of_wide_rows_end_by_their_bytes(spark):
+    from tessella.storage import WIDE_ROWS
+
+    wide = spark.range(0, 40, 1, 1).withColumn("cells", F.transform(F.sequence(F.lit(1), F.lit(50_000)), lambda i: F.hash(i, F.col("id"))))
+    (file,) = settle(wide, "wide", options=WIDE_ROWS | {"parquet.block.size": f"{1 << 20}"}).inputFiles()
+    groups = pq.ParquetFile(file.removeprefix("file://")).metadata
+    assert groups.num_rows == 40 and max(groups.row_group(i).num_rows for i in range(groups.num_row_groups)) <= 10
+
+
 def plain_lloyd(rows, clusters, dims, rounds):
     kept = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
     first = sorted(kept, key=lambda r: (hashlib.sha256(f"1:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[1]))
